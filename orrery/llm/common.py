@@ -58,3 +58,17 @@ class Staging:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._staged_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, size: str = "32m", rows: str = "2000") -> None:
+    """Arrow batches by bytes, so that long texts can't add up; settings that the session has already stay."""
+    for key, value, default in (("spark.sql.execution.arrow.maxBytesPerBatch", size, None), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows, "10000")):
+        try:
+            now = spark.conf.get(key)
+        except Exception as e:  # the setting is unknown to this version
+            if "NO_SUCH" in str(e) or "SQL_CONF_NOT_FOUND" in str(e):
+                continue
+            raise
+        if default is None or now == default:
+            if default is not None or int(str(now).lower().rstrip("b") or 0) > 1 << 30 if str(now).lower().rstrip("b").isdigit() else True:
+                spark.conf.set(key, value)

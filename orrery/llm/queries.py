@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import licenses, rules, secrets, urls
+from orrery.llm import bpe, licenses, rules, secrets, tokenfile, urls
 from orrery.llm.common import table
 
 
@@ -24,5 +24,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_licenses, op5_url_filter)}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op9_token_files)}
 ORACLE = {"op3_quality_rules": rules.SQL, "op4_licenses": licenses.sql(), "op5_url_filter": urls.SQL}
