@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, licenses, rules, secrets, tokenfile, urls
+from orrery.llm import bpe, licenses, neardup, quality, rules, secrets, tokenfile, urls
 from orrery.llm.common import table
 
 
@@ -28,9 +28,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op7_near_duplicates, op8_quality, op9_token_files)}
 ORACLE = {"op3_quality_rules": rules.SQL, "op4_licenses": licenses.sql(), "op5_url_filter": urls.SQL}
