@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import Staging, ascii_lower, bounded_batches, words_of
+from orrery.llm.links import link
 
 SHINGLE = 5
 PERCENT = 85
@@ -39,7 +40,6 @@ CHUNKS, WIDTH, BITS, SEED = 8, 5, 16, 20_240_229
 PLACES = CHUNKS * WIDTH
 #: Pairs under a common key with more differing places are no candidates: at similarity 0.85 the chance is 1e-7.
 FAR = 20
-STARS = 6
 #: Ids up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -112,18 +112,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = shared.select("cid").distinct()
     sigs = stage.keep(classes.join(members, "cid", "left_semi").select("cid", "rep", "sig"))
     full = stage.keep(_sets_of(texts, sigs))
-    labels = stage.keep(sigs.select("cid", F.col("cid").alias("label")))
-    n = sigs.count()
-    for r in range(STARS):
-        more = stage.keep(_confirmed(_stars(shared, labels, r), sigs, full, percent))
-        n_more = more.count()
-        if n_more:
-            labels = _joined(stage, labels, more)
-        if n_more * 20 < n:
-            break
-    more = stage.keep(_confirmed(_rest(shared, labels), sigs, full, percent))
-    if more.limit(1).count():
-        labels = _joined(stage, labels, more)
+    labels = link(stage, shared, sigs, lambda pairs: _confirmed(pairs, sigs, full, percent))
     root = labels.join(sigs.select("cid", "rep"), "cid").groupBy("label").agg(F.min("rep").alias("component"))
     top = stage.keep(labels.join(root, "label").select(F.col("cid").alias("c"), "component"))
     stage.drop(shared, full)
@@ -132,28 +121,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _joined(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame:
-    fresh = stage.keep(components(stage, labels, links))
-    stage.drop(labels, links)
-    return fresh
-
-
-def _stars(shared: DataFrame, labels: DataFrame, r: int) -> DataFrame:
-    """Pairs of each class with the round's pivot under each key, where their components differ."""
-    rows = shared.join(labels, "cid")
-    pivot = F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), F.col("cid").alias("pivot"), F.col("label").alias("other"))).alias("p")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), pivot).where("a < b").select("key", "p.pivot", "p.other")
-    return rows.join(mixed, "key").where("label <> other").select(F.least("cid", "pivot").alias("x"), F.greatest("cid", "pivot").alias("y")).distinct()
-
-
-def _rest(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of classes of different components under a common key."""
-    rows = shared.join(labels, "cid")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    left = rows.join(mixed, "key", "left_semi").select("key", F.col("cid").alias("x"), F.col("label").alias("lx"))
-    return left.join(left.select("key", F.col("x").alias("y"), F.col("lx").alias("ly")), "key").where("x < y and lx <> ly").select("x", "y").distinct()
-
-
 def _sets_of(texts: DataFrame, sigs: DataFrame) -> DataFrame:
     """(cid, s, n): the full sets of classes, from the text of each one's first document."""
     ids = sigs.select(F.col("cid").alias("c"), F.col("rep"))
@@ -177,28 +144,6 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, full: DataFrame, percent: int)
     return both.where(f"100L * common >= {percent}L * (nx + ny - common)").select("x", "y")
 
 
-def components(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after links: the least label that each node reaches, over `labels` (cid, label) that hold already."""
-    at = labels.select(F.col("cid").alias("x"), F.col("label").alias("lx"))
-    to = labels.select(F.col("cid").alias("y"), F.col("label").alias("ly"))
-    edges = stage.keep(links.join(at, "x").join(to, "y").where("lx <> ly").select(F.col("lx").alias("u"), F.col("ly").alias("v")).distinct())
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    parents = stage.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
-    while True:
-        # Each node takes the least parent around it, then its parent's parent.
-        near = both.join(parents.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("q"))
-        step = parents.join(near, "u").select("u", F.least("p", "q").alias("p"))
-        step = stage.keep(step)
-        jumped = step.join(step.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.least("p", F.coalesce("pp", "p")).alias("p"))
-        now = stage.keep(jumped)
-        changed = now.join(parents.select("u", F.col("p").alias("before")), "u").where("p <> before").limit(1).count()
-        stage.drop(parents, step)
-        parents = now
-        if not changed:
-            break
-    return labels.join(parents.select(F.col("u").alias("label"), "p"), "label", "left").select("cid", F.coalesce("p", "label").alias("label"))
-
-
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of near-duplicates."""
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
