@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, licenses, linededup, neardup, quality, rules, secrets, tokenfile, urls
+from orrery.llm import bpe, decontam, licenses, linededup, neardup, quality, rules, secrets, tokenfile, urls
 from orrery.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op7_near_duplicates, op8_quality, op9_token_files, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op7_near_duplicates, op8_quality, op9_token_files, op10_line_dedup)}
 ORACLE = {"op3_quality_rules": rules.SQL, "op4_licenses": licenses.sql(), "op5_url_filter": urls.SQL}
