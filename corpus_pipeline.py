@@ -1,12 +1,51 @@
-"""Corpus preparation: stages over documents, each written and read again as the next one's input."""
+"""Corpus preparation: stages over documents, each written to the shared folder and read again as the next one's input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from orrery.llm import bpe, decontam, linededup, neardup, quality
+from orrery.llm.common import Staging, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, but for a few edits, go; documents without any other line go with them."""
+    return linededup.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of what is left."""
+    return bpe.digest(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("bpe_encoding", encoding),
+]
+#: The classifier and the encoder are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    stage, docs = Staging(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for _, f in STAGES[:-1]:
+        docs = stage.keep(f(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
