@@ -1,4 +1,32 @@
-"""All queries of the engine by name, with their SQL for cross-checking."""
+"""All queries of the engine by name, with their SQL for cross-checking.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+A query function takes (spark, sf_dir) and returns a DataFrame; `query` registers it under its name. Modules are
+loaded at the end of this file.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    from importlib import import_module
+
+    for name in ("risk",):
+        import_module(f"orrery.plans.{name}_queries")
+
+
+load()
