@@ -28,7 +28,7 @@ def fold_positions(trades: DataFrame, by: list[str], order: str) -> DataFrame:
 def fills(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Running filled quantity, quantity-weighted price and status of each order's fills."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = rows.withColumn("filled", F.sum("quantity").over(w)).withColumn("avg_price", F.sum(F.col("quantity") * F.col("price")).over(w) / F.sum("quantity").over(w))
+    d = rows.withColumn("filled", F.sum("quantity").over(w)).withColumn("avg_price", F.sum((F.col("quantity") * F.col("price")).cast("decimal(28,4)")).over(w).cast("double") / F.sum("quantity").over(w))
     return d.withColumn("status", F.when(F.col("filled") >= F.col("ordered"), "FILLED").when(F.col("filled") > 0, "PARTIAL").otherwise("OPEN"))
 
 

@@ -27,13 +27,13 @@ def position_accounting(spark, sf):
 
 
 @query("""WITH f AS (SELECT o_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS x, max(o_totalprice) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-w AS (SELECT o_orderkey, l_linenumber, sum(q) OVER o AS filled, sum(x) OVER o / sum(q) OVER o AS avg_price FROM f WINDOW o AS (PARTITION BY o_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
-SELECT o_orderkey, l_linenumber, filled, round(avg_price, 8) AS avg_price, CASE WHEN filled >= 100 THEN 'FILLED' WHEN filled > 0 THEN 'PARTIAL' ELSE 'OPEN' END AS status FROM w""")
+w AS (SELECT o_orderkey, l_linenumber, sum(q) OVER o AS filled, CAST(sum(CAST(x AS DECIMAL(28,4))) OVER o AS DOUBLE) / sum(q) OVER o AS avg_price FROM f WINDOW o AS (PARTITION BY o_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
+SELECT o_orderkey, l_linenumber, filled, avg_price, CASE WHEN filled >= 100 THEN 'FILLED' WHEN filled > 0 THEN 'PARTIAL' ELSE 'OPEN' END AS status FROM w""")
 def order_fills(spark, sf):
     o = v.table(spark, sf, "orders").select("o_orderkey")
     g = v.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "l_linenumber").agg(v.total("l_quantity").alias("quantity"), v.total("l_extendedprice").alias("x"))
     d = g.withColumn("price", F.col("x") / F.col("quantity")).withColumn("ordered", F.lit(100.0))
-    return pf.fills(d, "o_orderkey", "l_linenumber").select("o_orderkey", "l_linenumber", "filled", F.round("avg_price", 8).alias("avg_price"), "status")
+    return pf.fills(d, "o_orderkey", "l_linenumber").select("o_orderkey", "l_linenumber", "filled", "avg_price", "status")
 
 
 @query(f"""WITH {v.POSITIONS}, p AS (SELECT portfolio, symbol, sum(market_value) AS mv FROM positions GROUP BY 1, 2), t AS (SELECT *, sum(mv) OVER (PARTITION BY portfolio) AS total FROM p) SELECT portfolio, symbol, round(total * 0.04e0 - mv, 2) AS trade FROM t WHERE abs(total * 0.04e0 - mv) > 0.01e0 * total""")
