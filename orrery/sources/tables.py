@@ -27,7 +27,7 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     """Articles from RSS files by the built-in XML source."""
     schema = "title string, link string, description string, pubDate string"
     d = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    return d.select("title", F.col("link").alias("url"), F.col("description").alias("summary"), F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")).alias("published_at"))
+    return d.select("title", F.col("link").alias("url"), F.col("description").alias("summary"), F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"))
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
