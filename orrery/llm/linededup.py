@@ -48,15 +48,14 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def keys_of(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Index and probe keys of a line, each once."""
+    """Index and probe keys of a line of at least (edits + 1)^2 characters, each once."""
     out = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             start, size = _segment(length - shorter, i, edits)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for move in range(low, high + 1):
-                # Starts outside the line give a shorter substring, which meets no segment of that length by more than chance.
-                out.append(F.when(start + move >= 1, F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + move, size))))
+                out.append(F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + move, size)))
     return F.array(*out)
 
 
@@ -110,8 +109,9 @@ def classes(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -
     """
     stage = Staging(docs.sparkSession, "lines")
     lines = _lines(docs)
-    length = F.length("line")
-    keyed = lines.where(length >= near_chars).select("h", F.explode(keys_of(F.col("line"), length, edits)).alias("key"))
+    # The length once, as a column: each key's places are arithmetic on it.
+    sized = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= near_chars)
+    keyed = sized.select("h", F.explode(keys_of(F.col("line"), F.col("n"), edits)).alias("key"))
     common = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
     common = stage.keep(common)
     shared = stage.keep(_by_ids(keyed, common, "key", "key").distinct().withColumnRenamed("h", "cid"))
