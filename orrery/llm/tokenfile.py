@@ -67,13 +67,16 @@ def _pack(rows: np.ndarray) -> list[bytes]:
     k = min(rows.shape[1] - 1, rows.shape[1] * PERCENTILE // 100)
     widths = np.ceil(np.log2(np.partition(rest, k, axis=1)[:, k] + 1.0)).astype(np.int64)
     over = rest >= (1 << widths)[:, None]
-    kept = np.where(over, 0, rest).astype("<u4")
-    bits = np.unpackbits(kept.view(np.uint8).reshape(len(rows), -1, 4), axis=2, bitorder="little")
+    rest[over], odd = 0, rest[over]
+    kind = "<u2" if widths.max() <= 16 else "<u4"  # half the bits to lay out where 16 hold a block's packed ids
+    kept = rest.astype(kind)
+    bits = np.unpackbits(kept.view(np.uint8).reshape(len(rows), -1, kept.itemsize), axis=2, bitorder="little")
+    ends = np.cumsum(over.sum(axis=1)).tolist()
     out = []
     for i, w in enumerate(widths.tolist()):
         places = np.flatnonzero(over[i])
         body = np.packbits(bits[i, :, :w].reshape(-1), bitorder="little").tobytes() if w else b""
-        out.append(struct.pack("<IBBH", int(least[i]), w, 0, len(places)) + body + places.astype("<u2").tobytes() + rest[i, places].astype("<u4").tobytes())
+        out.append(struct.pack("<IBBH", int(least[i]), w, 0, len(places)) + body + places.astype("<u2").tobytes() + odd[ends[i] - len(places) : ends[i]].astype("<u4").tobytes())
     return out
 
 
@@ -84,9 +87,9 @@ def unpack(data: bytes | memoryview, n: int) -> np.ndarray:
     values = np.zeros(n, dtype=np.int64)
     if w:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, 8), count=n * w, bitorder="little").reshape(n, w)
-        full = np.zeros((n, 32), np.uint8)
+        full = np.zeros((n, 16 if w <= 16 else 32), np.uint8)
         full[:, :w] = bits
-        values[:] = np.packbits(full, axis=1, bitorder="little").view("<u4")[:, 0]
+        values[:] = np.packbits(full, axis=1, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, 0]
     if odd:
         values[np.frombuffer(data, "<u2", odd, 8 + size)] = np.frombuffer(data, "<u4", odd, 8 + size + 2 * odd)
     return values + least
@@ -208,9 +211,10 @@ class LibraryEncoder(bpe.Encoder):
             ids = np.array(e.ids, "<u4")
             ends = np.cumsum(self.n_bytes[ids])
             borders = np.cumsum([len(pieces[i].encode()) for i in g])
-            cuts = np.searchsorted(ends, borders, side="right")
-            for i, part in zip(g, np.split(ids, cuts[:-1])):
-                out[i] = part.tobytes()
+            raw, cut = ids.tobytes(), 0
+            for i, stop in zip(g, (4 * np.searchsorted(ends, borders, side="right")).tolist()):
+                out[i] = raw[cut:stop]
+                cut = stop
         for i, e in zip(alone, found[len(groups) :]):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
