@@ -242,4 +242,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     gone = Staging(docs.sparkSession, "leaks").keep(leaks(docs, benchmark).select(F.col("doc_id").alias("gone")).where("gone is not null").distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
