@@ -123,8 +123,7 @@ def shingles(text):
 
 @pytest.mark.parametrize("stars", [6, 0])
 def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, stars):
-    monkeypatch.setattr(links, "link", links.link)
-    monkeypatch.setattr(neardup, "link", lambda *a: links.link(*a, stars=stars))
+    monkeypatch.setattr(neardup, "link", lambda *a, **k: links.link(*a, **k, stars=stars))
     rows = [r[:2] for r in corpus()]
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
