@@ -1,8 +1,9 @@
 """Components of links among items that share keys, without emitting all pairs of a key.
 
 Items come as `shared` rows (key, cid); a caller's `confirm` keeps the pairs (x, y) that are truly linked. In star
-rounds all items under a key are compared with one pivot of the round; pairs that many keys have in common count once.
-When stars find little more, every pair of items of different components under a common key is compared. Pairs within
+rounds all items under a key are compared with one pivot of the key; pairs that many keys have in common count once.
+When stars find little more, every pair of items of different components under a common key is compared; where the
+caller knows an exact index that is finer than the keys, stars and the rest then go by that. Pairs within
 one component need no comparison, so the components are exactly those of all links, with no cap on a key's items.
 Rows under a key meet in joins that split hot keys, or in aggregates with partial sums; all tables of a round are in the
 shared folder, and only counts reach the driver.
@@ -20,10 +21,22 @@ from orrery.llm.common import Staging
 STARS = 6
 
 
-def link(stage: Staging, shared: DataFrame, items: DataFrame, confirm: Callable[[DataFrame], DataFrame], stars: int = STARS) -> DataFrame:
-    """(cid, label) for all `items` (cid): label is the least cid of the component."""
-    labels = stage.keep(items.select("cid", F.col("cid").alias("label")))
-    n = labels.count()
+def link(stage: Staging, shared: DataFrame, items: DataFrame, confirm: Callable[[DataFrame], DataFrame], stars: int = STARS, finer: Callable[[DataFrame, DataFrame], DataFrame] | None = None, fits: str | None = None) -> DataFrame:
+    """(cid, label) for all `items` (cid): label is the least cid of the component.
+
+    finer: gives rows (key, cid, ...) of an exact, finer index from the shared rows and the labels after the star rounds;
+    fits: a condition on its further columns, which carry _x and _y for the two items of a pair.
+    """
+    labels = _starred(stage, shared, stage.keep(items.select("cid", F.col("cid").alias("label"))), confirm, stars)
+    if finer:
+        shared = stage.keep(finer(shared, labels))
+        labels = _starred(stage, shared, labels, confirm, stars)
+    more = stage.keep(confirm(_rest(shared, labels, fits)))
+    return _joined(stage, labels, more) if more.limit(1).count() else labels
+
+
+def _starred(stage: Staging, shared: DataFrame, labels: DataFrame, confirm: Callable[[DataFrame], DataFrame], stars: int) -> DataFrame:
+    n = shared.select("cid").distinct().count()
     for r in range(stars):
         more = stage.keep(confirm(_stars(shared, labels, r)))
         found = more.count()
@@ -31,8 +44,7 @@ def link(stage: Staging, shared: DataFrame, items: DataFrame, confirm: Callable[
             labels = _joined(stage, labels, more)
         if found * 20 < n:
             break
-    more = stage.keep(confirm(_rest(shared, labels)))
-    return _joined(stage, labels, more) if more.limit(1).count() else labels
+    return labels
 
 
 def _joined(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -42,19 +54,22 @@ def _joined(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _stars(shared: DataFrame, labels: DataFrame, r: int) -> DataFrame:
-    """Pairs of each item with the round's pivot under each key, where their components differ."""
+    """Pairs of each item with the key's pivot of the round, where their components differ."""
     rows = shared.join(labels, "cid")
-    pivot = F.min(F.struct(F.xxhash64("cid", F.lit(r)).alias("h"), F.col("cid").alias("pivot"), F.col("label").alias("other"))).alias("p")
+    pivot = F.min(F.struct(F.xxhash64("cid", "key", F.lit(r)).alias("h"), F.col("cid").alias("pivot"), F.col("label").alias("other"))).alias("p")
     mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), pivot).where("a < b").select("key", "p.pivot", "p.other")
     return rows.join(mixed, "key").where("label <> other").select(F.least("cid", "pivot").alias("x"), F.greatest("cid", "pivot").alias("y")).distinct()
 
 
-def _rest(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, labels: DataFrame, fits: str | None = None) -> DataFrame:
     """All pairs of items of different components under a common key."""
+    more = [c for c in shared.columns if c not in ("key", "cid")]
     rows = shared.join(labels, "cid")
     mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    left = rows.join(mixed, "key", "left_semi").select("key", F.col("cid").alias("x"), F.col("label").alias("lx"))
-    return left.join(left.select("key", F.col("x").alias("y"), F.col("lx").alias("ly")), "key").where("x < y and lx <> ly").select("x", "y").distinct()
+    rows = rows.join(mixed, "key", "left_semi")
+    left = rows.select("key", F.col("cid").alias("x"), F.col("label").alias("lx"), *[F.col(c).alias(f"{c}_x") for c in more])
+    right = rows.select("key", F.col("cid").alias("y"), F.col("label").alias("ly"), *[F.col(c).alias(f"{c}_y") for c in more])
+    return left.join(right, "key").where("x < y and lx <> ly").where(fits or "true").select("x", "y").distinct()
 
 
 def components(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame:

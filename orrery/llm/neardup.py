@@ -11,7 +11,9 @@ keys a class and no pairs enumerated yet. At similarity 0.85 a pair misses all k
 Links are found without emitting all pairs of a key:
   star rounds: under each key all classes are compared with one pivot of that round (a pair once, whatever the number
     of common keys), first by signature distance, then on full sets; confirmed links join components;
-  then, under keys that still hold several components, every pair of classes of different components is compared.
+  then the classes under keys that still hold several components are compared by an exact prefix index: two sets of that
+    similarity share one of the n - ceil(s n) + 1 shingles of each that are rarest among these classes. Copies that differ
+    from one another too much to be linked share no such shingle, however many they are.
 Pairs within one component need no comparison, since links within it change nothing; so the components are exactly those
 of all links among found pairs, and no partner or candidate is capped. Components come from rounds of minimum labels with
 pointer jumping on tables in the shared folder; nothing of a document reaches the driver but counts.
@@ -112,7 +114,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = shared.select("cid").distinct()
     sigs = stage.keep(classes.join(members, "cid", "left_semi").select("cid", "rep", "sig"))
     full = stage.keep(_sets_of(texts, sigs))
-    labels = link(stage, shared, sigs, lambda pairs: _confirmed(pairs, sigs, full, percent))
+    labels = link(stage, shared, sigs, lambda pairs: _confirmed(pairs, sigs, full, percent), finer=lambda rows, now: _prefixes(stage, rows, now, full, percent), fits=_positions(percent))
     root = labels.join(sigs.select("cid", "rep"), "cid").groupBy("label").agg(F.min("rep").alias("component"))
     top = stage.keep(labels.join(root, "label").select(F.col("cid").alias("c"), "component"))
     stage.drop(shared, full)
@@ -132,6 +134,25 @@ def _sets_of(texts: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.groupBy("c").agg(F.first("s").alias("s")).select(F.col("c").alias("cid"), "s", F.size("s").alias("n"))
 
 
+def _prefixes(stage: Staging, shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n, at): the rarest shingles of each class under keys of several components, and their places in its order."""
+    rows = shared.join(labels, "cid")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    open_ids = rows.join(mixed, "key", "left_semi").select("cid").distinct()
+    each = stage.keep(full.join(open_ids, "cid").select("cid", "n", F.explode("s").alias("shingle")))
+    several = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles of one class only come first in its order, but join nothing.
+    own = each.join(several, "shingle").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    first = F.col("n") - F.size("common")
+    places = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1 - first
+    return own.where(places > 0).select("cid", "n", first.alias("first"), F.posexplode(F.slice("common", F.lit(1), places)).alias("k", "c")).select(F.col("c.shingle").alias("key"), "cid", "n", (F.col("first") + F.col("k")).alias("at"))
+
+
+def _positions(percent: int) -> str:
+    """What the first common shingle of a pair must leave room for: an intersection of the asked-for share."""
+    return f"{100 + percent}L * least(n_x - at_x, n_y - at_y) >= {percent}L * (n_x + n_y)"
+
+
 def _confirmed(pairs: DataFrame, sigs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) with 100 * intersection >= percent * union; signatures first, sets for the near ones."""
     sx = sigs.select(F.col("cid").alias("x"), F.col("sig").alias("sx"))
@@ -150,4 +171,4 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = Staging(docs.sparkSession, "gone").keep(gone)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
