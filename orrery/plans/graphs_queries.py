@@ -13,8 +13,8 @@ from orrery.plans.registry import query
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     e = lambda df, a, b, x, y, k: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"), F.lit(k).alias("kind"))
     t = lambda n: v.table(spark, sf, n)
-    supplied = t("lineitem").where("l_suppkey % 20 = 0").select("l_suppkey", (F.col("l_partkey") % 50).alias("p")).distinct()
-    return e(t("nation"), "n", "r", "n_nationkey", "n_regionkey", "IN").unionByName(e(t("supplier"), "s", "n", "s_suppkey", "s_nationkey", "IN")).unionByName(e(supplied, "s", "p", "l_suppkey", "p", "SUPPLIES"))
+    supplied = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    return e(t("nation"), "n", "r", "n_nationkey", "n_regionkey", "IN").unionByName(e(t("supplier"), "s", "n", "s_suppkey", "s_nationkey", "IN")).unionByName(e(supplied, "s", "p", "l_suppkey", "l_partkey", "SUPPLIES"))
 
 
 EDGES = """edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier
@@ -40,7 +40,7 @@ def pagerank(spark, sf):
 
 @query(f"""WITH RECURSIVE {EDGES}, few AS (SELECT src, dst FROM und WHERE (src LIKE 'n%' OR src LIKE 'r%') AND (dst LIKE 'n%' OR dst LIKE 'r%')), w AS (SELECT src AS id, src AS seen FROM few UNION SELECT w.id, few.dst FROM w JOIN few ON few.src = w.seen) SELECT id, min(seen) AS component FROM w GROUP BY 1""")
 def connected_components(spark, sf):
-    return graph.components(edges(spark, sf).where("src like 'n%'"))
+    return graph.components(edges(spark, sf))
 
 
 @query(f"""WITH {EDGES}, l0 AS (SELECT DISTINCT src AS id, src AS label FROM und){''.join(f", l{k + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT u.src AS id, l.label, row_number() OVER (PARTITION BY u.src ORDER BY count(*) DESC, l.label) AS k FROM und u JOIN l{k} l ON l.id = u.dst GROUP BY u.src, l.label) WHERE k = 1)" for k in range(3))} SELECT id, label FROM l3""")
@@ -63,7 +63,7 @@ def shortest_paths(spark, sf):
 @query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS a, [src, dst] AS path FROM edges WHERE src IN ('s20', 's40', 's60') UNION ALL SELECT w.a, list_append(path, e.dst) FROM w JOIN edges e ON e.src = path[-1] WHERE len(path) < 4 AND NOT list_contains(path, e.dst)) SELECT DISTINCT a, path[-1] AS b, array_to_string(path, '>') AS path FROM w WHERE path[-1] LIKE 'r%'""")
 def all_simple_paths(spark, sf):
     e = edges(spark, sf)
-    pairs = spark.createDataFrame([(f"s{i}", f"r{j}") for i in (20, 40, 60) for j in range(5)], "a string, b string")
+    pairs = e.where("src like 's%'").select(F.col("src").alias("a")).distinct().crossJoin(e.where("dst like 'r%'").select(F.col("dst").alias("b")).distinct())
     return graph.all_paths(e, pairs, 3).withColumn("path", F.array_join("path", ">"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import alerts, graph, indicators, news, portfolio, retrieval, risk, store
+from orrery.plans import graphs_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,6 +131,16 @@ def test_graph_on_two_triangles_and_a_bridge(spark):
     assert (s.nodes, s.edges) == (8, 8) and s.density == pytest.approx(2 * 8 / 56)
 
 
+def test_graph_queries_take_all_supply_edges(spark, tmp_path):
+    tables = {"nation": ([(7, 3), (8, 2)], "n_nationkey long, n_regionkey long"), "supplier": ([(1, 7), (20, 8)], "s_suppkey long, s_nationkey long"), "lineitem": ([(1, 5), (1, 55), (20, 55), (20, 120), (20, 120)], "l_suppkey long, l_partkey long")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.src, r.dst) for r in graphs_queries.edges(spark, str(tmp_path)).collect()}
+    assert got == {("n7", "r3"), ("n8", "r2"), ("s1", "n7"), ("s20", "n8"), ("s1", "p5"), ("s1", "p55"), ("s20", "p55"), ("s20", "p120")}
+    assert {r.id: r.component for r in graphs_queries.connected_components(spark, str(tmp_path)).collect()} == dict.fromkeys({x for e in got for x in e}, "n7")
+    assert {r.path for r in graphs_queries.all_simple_paths(spark, str(tmp_path)).collect()} == {"s1>n7>r3", "s20>n8>r2"}
+
+
 def test_levels_put_cycles_last(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
     got = {r.id: r.level for r in graph.levels(e).collect()}
