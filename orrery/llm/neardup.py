@@ -6,7 +6,8 @@ everything below works on classes, so exact copies cost nothing however many the
 Signatures have CHUNKS x WIDTH minima of BITS bits each. By the pigeonhole principle two signatures that differ in at
 most CHUNKS * (ERRORS + 1) - 1 places differ in at most ERRORS places of some chunk. With ERRORS = 1 a chunk is indexed
 once per place left out, so both land under a common key: every pair under that distance is found, with WIDTH * CHUNKS
-keys a class and no pairs enumerated yet. At similarity 0.85 a pair misses all keys with a chance below 1e-6.
+keys a class and no pairs enumerated yet. The number of chunks follows the similarity asked for, so that a pair at it
+misses all keys with a chance below 1e-6: 8 chunks at 0.85, 11 at 0.80.
 
 Links are found without emitting all pairs of a key:
   star rounds: under each key all classes are compared with one pivot of that round (a pair once, whatever the number
@@ -27,6 +28,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -38,10 +40,30 @@ from orrery.llm.links import link
 
 SHINGLE = 5
 PERCENT = 85
-CHUNKS, WIDTH, BITS, SEED = 8, 5, 16, 20_240_229
+WIDTH, BITS, SEED = 5, 16, 20_240_229
+
+
+def chunks_for(percent: int) -> int:
+    """The fewest chunks by which a pair of that similarity misses all keys with a chance below 1e-6."""
+    s = percent / 100
+    missed, n = 1 - s**WIDTH - WIDTH * (1 - s) * s ** (WIDTH - 1), 1
+    while missed**n >= 1e-6:
+        n += 1
+    return n
+
+
+def far_for(percent: int) -> int:
+    """Pairs under a common key with more differing places are no candidates: at that similarity the chance is below 1e-7."""
+    s, n = percent / 100, chunks_for(percent) * WIDTH
+    far, tail = n, 0.0
+    while far > 0 and tail + (more := comb(n, far) * (1 - s) ** far * s ** (n - far)) < 1e-7:
+        far, tail = far - 1, tail + more
+    return far
+
+
+CHUNKS = chunks_for(PERCENT)
 PLACES = CHUNKS * WIDTH
-#: Pairs under a common key with more differing places are no candidates: at similarity 0.85 the chance is 1e-7.
-FAR = 20
+FAR = far_for(PERCENT)
 #: Ids up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -59,19 +81,19 @@ def shingles(text: Column) -> Column:
     return F.sort_array(F.array_distinct(windows))
 
 
-def _hashes() -> tuple[np.ndarray, np.ndarray]:
+def _hashes(places: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, PLACES, dtype=np.uint64)
+    return rng.integers(0, 2**63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, places, dtype=np.uint64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     """b-bit minima of non-empty sets, one row each."""
-    a, b = _hashes()
+    a, b = _hashes(places)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     x = np.concatenate(sets).astype(np.int64).view(np.uint64)
     x = x ^ (x >> np.uint64(31))
-    out = np.empty((len(sets), PLACES), np.int32)
-    for k in range(PLACES):
+    out = np.empty((len(sets), places), np.int32)
+    for k in range(places):
         h = x * a[k] + b[k]
         h ^= h >> np.uint64(29)
         least = np.minimum.reduceat(h * np.uint64(0xBF58476D1CE4E5B9), starts)
@@ -79,22 +101,22 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame], places: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         n = b["n"].to_numpy()
         sig: list = [None] * len(b)
         full = np.flatnonzero(n > 0)
         # A bounded number of shingles at a time.
         for part in np.split(full, np.flatnonzero(np.diff(np.cumsum(n[full]) // 2_000_000)) + 1) if len(full) else []:
-            for i, s in zip(part, signatures([b["s"].iloc[i] for i in part])):
+            for i, s in zip(part, signatures([b["s"].iloc[i] for i in part], places)):
                 sig[i] = s
         yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "cid": b["cid"], "sig": sig})
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, chunks: int) -> DataFrame:
     """(key, cid): per chunk one key for each place left out."""
     sig = F.col("sig")
-    keys = [F.xxhash64(F.lit(c * WIDTH + e), *[sig[c * WIDTH + k] for k in range(WIDTH) if k != e]) for c in range(CHUNKS) for e in range(WIDTH)]
+    keys = [F.xxhash64(F.lit(c * WIDTH + e), *[sig[c * WIDTH + k] for k in range(WIDTH) if k != e]) for c in range(chunks) for e in range(WIDTH)]
     return classes.select("cid", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -105,9 +127,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stage = Staging(spark, "neardup")
     texts = docs.select("doc_id", "text")
     sets = texts.select("doc_id", shingles(F.col("text")).alias("s")).select("doc_id", "s", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("cid"))
-    signed = stage.keep(sets.mapInPandas(_sign, "doc_id long, n long, cid long, sig array<int>"))
+    chunks = chunks_for(percent)
+    signed = stage.keep(sets.mapInPandas(lambda batches: _sign(batches, chunks * WIDTH), "doc_id long, n long, cid long, sig array<int>"))
     classes = stage.keep(signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    keys = _keys(classes)
+    keys = _keys(classes, chunks)
     common = keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("key")
     # Rows under keys of two classes or more; all that follows works on these.
     shared = stage.keep(keys.join(common, "key"))
@@ -157,7 +180,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, full: DataFrame, percent: int)
     """The pairs (x, y) with 100 * intersection >= percent * union; signatures first, sets for the near ones."""
     sx = sigs.select(F.col("cid").alias("x"), F.col("sig").alias("sx"))
     sy = sigs.select(F.col("cid").alias("y"), F.col("sig").alias("sy"))
-    near = pairs.join(sx, "x").join(sy, "y").where(F.expr(f"size(filter(zip_with(sx, sy, (p, q) -> p <> q), d -> d)) <= {FAR}")).select("x", "y")
+    near = pairs.join(sx, "x").join(sy, "y").where(F.expr(f"size(filter(zip_with(sx, sy, (p, q) -> p <> q), d -> d)) <= {far_for(percent)}")).select("x", "y")
     fx = full.select(F.col("cid").alias("x"), F.col("s").alias("ax"), F.col("n").alias("nx"))
     fy = full.select(F.col("cid").alias("y"), F.col("s").alias("ay"), F.col("n").alias("ny"))
     both = near.join(fx, "x").join(fy, "y").where(f"100L * least(nx, ny) >= {percent}L * greatest(nx, ny)")

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+from math import comb
 
 import pytest
 
+import corpus_pipeline
 from orrery.llm import decontam, linededup, links, neardup
 from orrery.llm.common import Staging
 
@@ -160,6 +162,25 @@ def test_chunks_guarantee_all_pairs_under_the_distance():
         assert min(errors) <= 1
 
 
+def test_pipeline_drops_pairs_from_a_similarity_of_eighty_percent(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: words, 2: words[:88] + ["other"] * 12, 3: words[:60] + ["else"] * 40}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    share = lambda a, b: len(a & b) / len(a | b)
+    a, b, c = (shingles(t) for _, t in rows)
+    assert 0.8 <= share(a, b) < 0.85 and share(a, c) < 0.8 and share(b, c) < 0.8
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_fit_the_similarity(percent):
+    chunks, s = neardup.chunks_for(percent), percent / 100
+    places = chunks * neardup.WIDTH
+    assert (1 - s**5 - 5 * (1 - s) * s**4) ** chunks < 1e-6
+    assert sum(comb(places, k) * (1 - s) ** k * s ** (places - k) for k in range(neardup.far_for(percent) + 1, places + 1)) < 1e-7
+
+
 def test_components_of_long_chains(spark):
     n = 40
     pairs = [(i, i + 1) for i in range(0, n - 1) if i != 20]
