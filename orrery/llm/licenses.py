@@ -1,10 +1,14 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word-bigram sets.
 
-Units of a document are its lines, its paragraphs (blocks between blank lines) and its whole text. A unit is
+Units of a document are its lines, its paragraphs (blocks between blank lines), its whole text, and, per template,
+windows of as many words as the template over the whole text: one from each of the template's bigrams on, the last one
+moved back to end with the text. So a licence within a longer line or text is found. A unit is
 normalised (A-Z lower-cased, runs of other than letters and digits become one space) and its distinct word bigrams
 are compared with each template's: 2 |A and B| / (|A| + |B|) >= THRESHOLD. That needs
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so a unit is compared with the templates of fitting size only, and most
-units with none; units that share no bigram with any template go before the coefficient is taken.
+units with none; units that share no bigram with any template go before the coefficient is taken. It also needs
+|A and B| >= |B| t / (2 - t), and a unit's bigrams are all in the whole text: a document that holds fewer of a
+template's bigrams isn't compared with it, and most documents with none.
 
 All expressions are built-in and work inside the row; no text is shuffled.
 
@@ -58,6 +62,11 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def _lengths(templates: dict[str, list[str]]) -> list[int]:
+    """Bigrams of each template with repeats, in the order of _templates."""
+    return [len(re.sub(r"[\W_]+", " ", t.lower()).split()) - 1 for texts in templates.values() for t in texts]
+
+
 def _templates(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
     return [(name, bigrams_of(t)) for name, texts in templates.items() for t in texts]
 
@@ -66,8 +75,14 @@ def _words(unit: Column) -> Column:
     return F.filter(F.split(F.lower(unit), NOT_WORD), lambda w: w != "")
 
 
+def _pairs(words: Column) -> Column:
+    """Bigrams in their order, with repeats."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _bigrams(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.array_distinct(_pairs(words))
 
 
 def find(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -77,28 +92,42 @@ def find(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     high = max(len(b) for _, b in known) * (2 - threshold) / threshold
     every = sorted({g for _, b in known for g in b})
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    lit = F.array(*[F.lit(g) for g in every])
+    d = d.select("doc_id", "text", _words(F.col("text")).alias("words"))
+    d = d.select("doc_id", "text", _pairs(F.col("words")).alias("all"))
+    d = d.select("doc_id", "text", "all", F.array_intersect("all", lit).alias("hits"))
+    array = lambda b: F.array(*[F.lit(x) for x in b])
+    enough = lambda b: F.size(F.array_intersect("hits", array(b))) >= len(b) * threshold / (2 - threshold)
+    # Few documents hold enough of a template; all others skip every template.
+    d = d.select("doc_id", "text", "all", F.when(F.size("hits") >= low, F.array(*[enough(b) for _, b in known])).alias("may"))
+    d = d.select("doc_id", "text", "all", "may", F.coalesce(F.exists("may", lambda m: m), F.lit(False)).alias("some"))
     units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \\t\\r]*\n"), F.array("text")))
-    d = d.select("doc_id", F.filter(units, lambda u: F.length(u) >= int(low)).alias("units"))
+    none = F.expr("cast(array() as array<string>)")
+    d = d.select("doc_id", "all", "may", "some", F.when(F.col("some"), F.filter(units, lambda u: F.length(u) >= int(low))).otherwise(none).alias("units"))
     # Sizes before contents: distinct bigrams are at most words - 1, so units with too few words go at once.
-    d = d.select("doc_id", F.filter(F.transform("units", _words), lambda w: F.size(w) - 1 >= low).alias("units"))
+    d = d.select("doc_id", "all", "may", "some", F.filter(F.transform("units", _words), lambda w: F.size(w) - 1 >= low).alias("units"))
     grams = F.filter(F.transform("units", _bigrams), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
-    lit = F.array(*[F.lit(g) for g in every])
-    d = d.select("doc_id", F.filter(grams, lambda g: F.arrays_overlap(g, lit)).alias("units"))
+    d = d.select("doc_id", "all", "may", "some", F.filter(grams, lambda g: F.arrays_overlap(g, lit)).alias("units"))
 
     def dice(g: Column, b: list[str]) -> Column:
         n = len(b)
         fits = (F.size(g) >= n * threshold / (2 - threshold)) & (F.size(g) <= n * (2 - threshold) / threshold)
-        return F.when(fits, 2.0 * F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in b]))) / (F.size(g) + n)).otherwise(0.0)
+        return F.when(fits, 2.0 * F.size(F.array_intersect(g, array(b))) / (F.size(g) + n)).otherwise(0.0)
+
+    def windows(b: list[str], m: int) -> Column:
+        """Coefficients of the windows of m bigrams."""
+        last = F.greatest(F.size("all") - m + 1, F.lit(1))
+        at = F.filter(F.transform("all", lambda x, i: F.when(x.isin(b), F.least(i + 1, last))), lambda i: i.isNotNull())
+        return F.transform(F.array_distinct(at), lambda i: F.transform(F.array(F.array_distinct(F.slice("all", i, F.lit(m)))), lambda g: dice(g, b))[0])
 
-    def best(b: list[str]) -> Column:
-        return F.coalesce(F.array_max(F.transform("units", lambda g: dice(g, b))), F.lit(0.0))
+    def best(k: int, b: list[str], m: int) -> Column:
+        every = F.concat(F.transform("units", lambda g: dice(g, b)), windows(b, m))
+        return F.when(F.get("may", F.lit(k)), F.coalesce(F.array_max(every), F.lit(0.0))).otherwise(0.0)
 
-    scores = [(name, best(b)) for name, b in known]
-    # Few documents keep a unit; all others skip every template.
-    some = F.size("units") > 0
+    scores = [(name, best(k, b, m)) for k, ((name, b), m) in enumerate(zip(known, _lengths(templates)))]
     found = F.array(*[F.struct(F.lit(name).alias("name"), s.alias("dice")) for name, s in scores])
     kind = "array<struct<name:string,dice:double>>"
-    d = d.select("doc_id", F.when(some, F.filter(found, lambda x: x["dice"] >= threshold)).otherwise(F.expr(f"cast(array() as {kind})")).alias("found"))
+    d = d.select("doc_id", F.when(F.col("some"), F.filter(found, lambda x: x["dice"] >= threshold)).otherwise(F.expr(f"cast(array() as {kind})")).alias("found"))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["name"])))
     return d.select(
         "doc_id",

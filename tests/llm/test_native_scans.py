@@ -1,6 +1,7 @@
 """Secrets, rules, licences and urls against brute force and edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -111,6 +112,25 @@ def test_licenses_equal_brute_force(spark):
         assert r.n_licenses == len(names)
 
 
+def test_licenses_within_longer_texts_are_found(spark):
+    rng = random.Random(2)
+    noise = lambda n: " ".join(rng.choice("blue river stone lamp green idea what quick".split()) for _ in range(n))
+    mit = licenses.TEMPLATES["MIT"][2].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    cc = licenses.TEMPLATES["CC-BY-SA-4.0"][1]
+    rows = [
+        (1, f"{noise(120)}\n\n{mit}\n\n{noise(120)}", "MIT"),
+        (2, f"{noise(120)} {mit.replace('deal in', 'work with')}", "MIT"),
+        (3, "This tool is Licensed under the Apache License, Version 2.0. See the docs.", "Apache-2.0"),
+        (4, f"{noise(50)} {cc} {noise(50)}", "CC-BY-4.0,CC-BY-NC-4.0,CC-BY-SA-4.0"),  # as the line alone
+        (5, f"{noise(50)} under the License {noise(50)} the MIT {noise(9)} of this software and", ""),
+        (6, f"{mit[:300]} {noise(300)}", ""),
+    ]
+    assert mit.count("\n\n") == 2
+    got = licenses.find(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: want for i, _, want in rows}
+    assert {r.doc_id: r.best_dice for r in got}[1] == 1.0
+
+
 URLS = ["http://a.net/x", "http://A.Net", "http://example.net/en/a?b", "https://x.example.net/en/?q#z", "http://net/", "http://xnet/", "http://example.com/de/1", "http://example.com/de", "http://org/fr/", "http://b.org/fr/a/b", "nothing", None, "", "x://y.example.com/de/#/", "http://a.b.net#/"]
 
 
