@@ -42,7 +42,7 @@ def ema_macd(spark, sf):
 e AS (SELECT symbol, day, n, close AS ema FROM k WHERE n = 1 UNION ALL SELECT k.symbol, k.day, k.n, 2e0 / 21 * k.close + (1 - 2e0 / 21) * e.ema FROM e JOIN k ON k.symbol = e.symbol AND k.n = e.n + 1)
 SELECT symbol, CAST(day AS VARCHAR) AS day, round(ema, 4) AS ema FROM e""")
 def ema_full(spark, sf):
-    return v.rounded(ind.ema_recursive(v.bars(spark, sf).where("day >= date'2001-06-01'"), 20), 4)
+    return v.rounded(ind.ema_recursive(v.bars(spark, sf), 20), 4)
 
 
 @query(f"""WITH {v.BARS} SELECT symbol, CAST(day AS VARCHAR) AS day, close, {', '.join(f'lag(close, {k}) OVER o AS lag_{k}' for k in (1, 2, 3, 5, 10, 20, 60))},

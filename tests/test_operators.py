@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import alerts, graph, indicators, news, portfolio, retrieval, risk, store
-from orrery.plans import graphs_queries
+from orrery.plans import graphs_queries, indicators_queries, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +87,12 @@ def test_recursive_ema_equals_a_loop(spark):
     assert got == pytest.approx(want)
 
 
+def test_ema_query_takes_all_bars(spark):
+    got = indicators_queries.ema_full(spark, SF)
+    bars = views.bars(spark, SF)
+    assert got.count() == bars.count() and got.agg(F.min("day")).collect() == bars.agg(F.min("day").cast("string")).collect()
+
+
 def test_canonical_urls(spark):
     urls = ["https://www.Example.com/article/?utm_source=twitter&b=2&a=1#x", "https://example.com/article", "HTTP://a.b/?ref=1"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
