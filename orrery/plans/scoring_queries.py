@@ -23,7 +23,7 @@ def article_scores(spark, sf):
 
 @query("""WITH s AS (SELECT event_type, avg(value / 500) AS m, count(*) AS n FROM events WHERE user_id % 10 = 3 GROUP BY 1) SELECT event_type, round(greatest(0.01, least(0.99, 0.1e0 + 0.9e0 * m * 0.5e0)), 6) AS probability, round(0.3e0 + 0.4e0 * m + 0.3e0 * least(1, n / 5e0), 6) AS confidence FROM s""")
 def event_probability(spark, sf):
-    s = v.table(spark, sf, "events").where("user_id % 10 = 3").groupBy("event_type").agg(F.avg(F.col("value") / 500).alias("m"), F.count(F.lit(1)).alias("n"))
+    s = v.table(spark, sf, "events").groupBy("event_type").agg(F.avg(F.col("value") / 500).alias("m"), F.count(F.lit(1)).alias("n"))
     p, c = scoring.event_probability(F.lit(0.1), F.col("m"), F.col("n"))
     return v.rounded(s.select("event_type", p.alias("probability"), c.alias("confidence")))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import alerts, graph, indicators, news, portfolio, retrieval, risk, store
-from orrery.plans import graphs_queries, indicators_queries, views
+from orrery.plans import graphs_queries, indicators_queries, scoring_queries, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,6 +93,12 @@ def test_ema_query_takes_all_bars(spark):
     assert got.count() == bars.count() and got.agg(F.min("day")).collect() == bars.agg(F.min("day").cast("string")).collect()
 
 
+def test_event_probability_takes_all_users(spark, tmp_path):
+    spark.createDataFrame([("a", 3, 100.0), ("a", 4, 300.0)], "event_type string, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    (r,) = scoring_queries.event_probability(spark, str(tmp_path)).collect()
+    assert (r.probability, r.confidence) == pytest.approx((0.1 + 0.9 * 0.4 * 0.5, 0.3 + 0.4 * 0.4 + 0.3 * 0.4))
+
+
 def test_canonical_urls(spark):
     urls = ["https://www.Example.com/article/?utm_source=twitter&b=2&a=1#x", "https://example.com/article", "HTTP://a.b/?ref=1"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
