@@ -101,27 +101,45 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def dedup(articles: DataFrame) -> DataFrame:
-    """Adds duplicate_of and reason: the first article (by id) with the same text hash, then url, then fingerprint.
+    """Adds duplicate_of and reason: the first article (by id) with the same text hash, then url, then a similar title, then fingerprint.
 
     First rule wins; each rule is one grouped minimum, joined back by its key.
     """
-    d = articles.withColumns({"k_exact": F.sha2(F.coalesce("content", F.lit("")), 256), "k_url": canonical_url(F.col("url")), "k_print": fingerprint(F.col("summary"), F.col("content"))})
-    for key in ("k_exact", "k_url", "k_print"):
-        first = d.groupBy(key).agg(F.min("article_id").alias(f"first_{key}"))
+    d = articles.withColumns({"k_exact": F.sha2(F.coalesce("content", F.lit("")), 256), "k_url": canonical_url(F.col("url")), "k_title": F.col("article_id"), "k_print": fingerprint(F.col("summary"), F.col("content"))})
+    for key in ("k_exact", "k_url", "k_title", "k_print"):
+        first = similar_titles(articles).groupBy(F.col("b").alias(key)).agg(F.min("a").alias(f"first_{key}")) if key == "k_title" else d.groupBy(key).agg(F.min("article_id").alias(f"first_{key}"))
         d = d.join(first, key, "left")
-    tests = [("k_exact", "exact_content_hash"), ("k_url", "canonical_url"), ("k_print", "content_fingerprint")]
+    tests = [("k_exact", "exact_content_hash"), ("k_url", "canonical_url"), ("k_title", "title_similarity"), ("k_print", "content_fingerprint")]
     reason = F.coalesce(*[F.when(F.col(f"first_{k}") < F.col("article_id"), F.lit(r)) for k, r in tests])
     of = F.coalesce(*[F.when(F.col(f"first_{k}") < F.col("article_id"), F.col(f"first_{k}")) for k, _ in tests])
     return d.withColumn("reason", reason).withColumn("duplicate_of", of).drop(*[c for k, _ in tests for c in (k, f"first_{k}")])
 
 
 def similar_titles(titles: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, ratio) of titles with one and the same first word and close length, by exact ratio."""
-    d = titles.select("article_id", clean_title(F.col("title")).alias("t")).where("t <> ''").withColumn("block", F.split("t", " ")[0])
-    left, right = d.select(F.col("article_id").alias("a"), F.col("t").alias("ta"), "block"), d.select(F.col("article_id").alias("b"), F.col("t").alias("tb"), "block")
-    # 2M/T >= r needs lengths within r / (2 - r) of each other.
-    pairs = left.join(right, "block").where("a < b").where(F.least(F.length("ta"), F.length("tb")) >= F.greatest(F.length("ta"), F.length("tb")) * (least / (2 - least)))
-    return pairs.withColumn("ratio", title_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    """(a, b, ratio) of titles with that ratio or more, by exact ratio; equal titles are compared once."""
+    named = titles.select("article_id", clean_title(F.col("title")).alias("t")).where("t <> ''")
+    # The matched characters are common ones, repeats counted: 2M/T >= r needs M >= r n / (2 - r) of either title.
+    numbered = "transform({0}, (y, i) -> concat(y, cast(size(filter(slice({0}, 1, i), x -> x = y)) as string)))"
+    d = named.groupBy("t").agg(F.min("article_id").alias("first"), F.max("article_id").alias("last")).withColumn("c", F.split("t", ""))
+    d = d.withColumn("n", F.size("c")).withColumn("g", F.expr("zip_with(slice(c, 1, n - 1), slice(c, 2, n - 1), (x, y) -> concat(x, y))"))
+    d = d.select("t", "first", "last", "n", F.expr(numbered.format("c")).alias("c"), F.expr(numbered.format("g")).alias("g"))
+    # Prefix filter, as in token_jaccard, over numbered characters.
+    each = d.select("t", "n", F.explode("c").alias("c"))
+    ranked = each.join(each.groupBy("c").agg(F.count(F.lit(1)).alias("df")), "c").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("df", "c")))
+    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1).select("t", "n", "c")
+    left, right = prefix.select(F.col("t").alias("ta"), F.col("n").alias("na"), "c"), prefix.select(F.col("t").alias("tb"), F.col("n").alias("nb"), "c")
+    pairs = left.join(right, "c").where("ta < tb").where(F.least("na", "nb") >= F.greatest("na", "nb") * (least / (2 - least)) - 1e-9).select("ta", "tb").distinct()
+    side = lambda x: d.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "first", "last", "c", "g")])
+    total = F.size("ca") + F.size("cb")
+    close = pairs.join(side("a"), "ta").join(side("b"), "tb").where(2 * F.size(F.array_intersect("ca", "cb")) >= total * least - 1e-9)
+    # M matched characters lie in T - 2M + 1 blocks at most, so both titles hold 3M - T - 1 pairs of neighbours.
+    close = close.where(F.size(F.array_intersect("ga", "gb")) >= total * (1.5 * least - 1) - 1 - 1e-9)
+    # The ratio depends on the order of its two titles, and that is the order of the articles.
+    order = F.filter(F.array(F.when(F.col("firsta") < F.col("lastb"), F.struct("ta", "tb")), F.when(F.col("firstb") < F.col("lasta"), F.struct(F.col("tb").alias("ta"), F.col("ta").alias("tb")))), lambda x: x.isNotNull())
+    both = close.select(F.explode(order).alias("p")).select("p.ta", "p.tb").repartition("ta", "tb").withColumn("ratio", title_ratio("ta", "tb")).where(F.col("ratio") >= least)
+    both = both.unionByName(d.select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("ratio")))
+    left, right = named.select(F.col("article_id").alias("a"), F.col("t").alias("ta")), named.select(F.col("article_id").alias("b"), F.col("t").alias("tb"))
+    return left.join(both, "ta").join(right, "tb").where("a < b").select("a", "b", "ratio")
 
 
 def token_jaccard(titles: DataFrame, least: float = 0.7) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small fixtures with hand-computed results, and the registry's contract."""
 
 import datetime as dt
+import difflib
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,18 @@ def test_title_ratio_and_freshness(spark):
     assert r.ratio > 0.9 and r.e == pytest.approx(0.5) and r.s == 0.1
 
 
+def test_similar_titles_equal_all_pairs(spark):
+    titles = ["Apple reports record Q3 earnings beating all estimates", "Breaking Apple reports record Q3 earnings beating all estimates", "Aple reports record Q3 earnings beating all estimates", "Oil falls as demand weakens", "Oil falls as demand weakens", "Oils fall as demand weakens", "abc", "ab", "", "zebra crossing", None]
+    rows = [(i, t, "", f"content {i}", f"http://x/{i}", "s") for i, t in enumerate(titles)]
+    d = spark.createDataFrame(rows, "article_id long, title string, summary string, content string, url string, source string")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {(i, j): ratio(a, b) for i, a in enumerate(titles) for j, b in enumerate(titles) if i < j and a and b and ratio(a, b) >= 0.8}
+    got = news.similar_titles(d).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.ratio for r in got} == pytest.approx(want) and {(0, 1), (0, 2), (4, 5)} <= set(want)
+    found = {r.article_id: (r.reason, r.duplicate_of) for r in news.dedup(d).collect()}
+    assert len(found) == len(rows) and {i: found[i] for i in (1, 2, 4, 5)} == {1: ("title_similarity", 0), 2: ("title_similarity", 0), 4: ("title_similarity", 3), 5: ("title_similarity", 3)}
+
+
 def test_language_of_short_and_empty_texts(spark):
     df = spark.createDataFrame([("the cat and the dog",), ("el perro y la casa de los",), ("",), ("xyzzy",)], "t string")
     lang, conf = news.language(news.tokens(F.col("t")))
