@@ -186,8 +186,8 @@ def sentiment(words: Column) -> tuple[Column, Column, Column]:
 
 
 def events(articles: DataFrame, text: str = "content") -> DataFrame:
-    """(article_id, event, hits, confidence) of every category found in the first 2000 characters."""
-    lower = F.lower(F.substring(text, 1, 2000))
+    """(article_id, event, hits, confidence) of every category found."""
+    lower = F.lower(text)
     found = F.array(*[F.struct(F.lit(k).alias("event"), F.regexp_count(lower, F.lit(p)).cast("long").alias("hits")) for k, p in EVENTS.items()])
     d = articles.select("article_id", F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("e"))
     return d.select("article_id", "e.event", "e.hits", F.least(0.5 + 0.1 * F.col("e.hits"), F.lit(0.95)).alias("confidence"))

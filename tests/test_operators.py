@@ -100,6 +100,11 @@ def test_event_probability_takes_all_users(spark, tmp_path):
     assert (r.probability, r.confidence) == pytest.approx((0.1 + 0.9 * 0.4 * 0.5, 0.3 + 0.4 * 0.4 + 0.3 * 0.4))
 
 
+def test_events_are_found_beyond_2000_characters(spark):
+    d = spark.createDataFrame([(1, "word " * 600 + "the merger was announced")], "article_id long, content string")
+    assert [r.event for r in news.events(d).collect()] != []
+
+
 def test_canonical_urls(spark):
     urls = ["https://www.Example.com/article/?utm_source=twitter&b=2&a=1#x", "https://example.com/article", "HTTP://a.b/?ref=1"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
