@@ -1,7 +1,7 @@
 """Secret scan with built-in expressions only.
 
 Base kinds are patterns with fixed rules (assignments, access keys, long hex runs). The method adds `random` spans:
-runs of 20 to 200 key characters with both digits and letters, which pass as random strings of their own encoding.
+runs of 20 key characters or more, which pass as random strings of their own encoding. Every run is tested.
 
 Per candidate the encoding is inferred from its characters (hex, base32, base36, base62, base64), and three tests ask
 whether it could be a uniform draw from that alphabet:
@@ -35,7 +35,6 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
-LONGEST = 200
 ALPHA = 0.05
 #: p-values are counted in bins of a quarter decade from 1 down to 1e-15.
 GRID, STEPS = 60, 4.0
@@ -72,12 +71,8 @@ def _spans(pattern: str, kind: int, group: int | None = None, least: int = 0) ->
 
 def _candidates() -> Column:
     """array<struct<start, stop, s>>: runs that may be keys."""
-    found = F.filter(
-        _matches(CANDIDATE),
-        lambda x: (F.length(x["m"]) <= LONGEST) & x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"),
-    )
     kind = "array<struct<start:bigint,stop:bigint,s:string>>"
-    out = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).cast("long").alias("stop"), x["m"].alias("s")))
+    out = F.transform(_matches(CANDIDATE), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).cast("long").alias("stop"), x["m"].alias("s")))
     may = F.col("text").rlike("[A-Za-z0-9+/_-]{20}")
     return F.when(may, out.cast(kind)).otherwise(F.expr(f"cast(array() as {kind})"))
 

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import types as T
 
 from orrery.llm import licenses, rules, secrets, urls
 
+CHARS = string.ascii_letters + string.digits
 DOCS = "doc_id long, text string, found string, base string"
 TEXTS = [
     None,
@@ -59,6 +61,19 @@ def test_secrets_random_runs_pass_and_words_do_not(spark):
     assert got == {1: 1, 2: 0}
 
 
+def test_secrets_long_and_letters_only_runs_are_tested(spark):
+    rng = random.Random(5)
+    draw = lambda n, alphabet: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = draw(20, string.ascii_letters)
+    rows = [(1, f"key {draw(900, CHARS + '+/')} end"), (2, f"key {letters} end"), (3, f"line {'abcd' * 100} end"), (4, f"line {'-' * 300} end"), (5, f"line {'9' * 30} end")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.s for r in d.select(secrets._candidates().alias("c")).selectExpr("explode(c.s) as s").collect()} == {t.split()[1] for _, t in rows}
+    got = {r.doc_id: r.spans for r in secrets.scan(d).collect()}
+    assert got[1] == "random:4:904" and got[2] == "random:4:24"
+    assert got[3] == "hex:5:405" or "random" not in got[3]
+    assert got[4] == "" and "random" not in got[5]
+
+
 def test_thresholds_reject_only_small_p():
     assert secrets.thresholds([(0, 0, 90), (0, 60, 10)]) == {0: 60}
     assert secrets.thresholds([(1, 0, 5)]) == {1: secrets.GRID + 1}
