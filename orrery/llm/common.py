@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
+WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,19 +25,39 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def has_word(text: Column) -> Column:
+    """Whether there is anything but white space."""
+    return F.ltrim(text, F.lit(WHITE)) != ""
+
+
+def each_of(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """A row for each of the n elements of an array column, which goes.
+
+    By number: exploding a computed array would have the optimizer compute it once more to filter empty ones.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_at")).select(*rest, F.get(column, F.col("_at")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Only a local session without it gets one of its own (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=None)
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='orrery-')}"
+
+
 class Staging:
     """Tables written to the shared folder; they cut lineage and outlive a lost executor."""
 

@@ -1,14 +1,15 @@
 """Line dedup across documents: a segment-partition edit join on distinct lines, with built-in expressions only.
 
-Lines with a word take part; others stay as they are. Two lines are linked if they are equal, or both have at least
-NEAR_CHARS code points and their edit distance is at most EDITS. Linked lines form classes (components); of each class
+Lines with a word take part; others stay as they are. Two lines are linked if they are equal, or their edit distance is at
+most EDITS and at most one for PER code points of the shorter one. Linked lines form classes (components); of each class
 the first occurrence, by doc_id and place in the text, stays and all others go.
 
 Filter: a line is cut into EDITS + 1 even segments. Of two linked lines, the longer one has a segment of the shorter
 one as a substring near its place; for every length difference the few possible starts are known (those that fit the
 edits left of the segment and right of it). Each line so has index keys for its own segments and probe keys for its
 substrings, all hashed with the length of the shorter line and the number of the segment; lines are compared only
-under common keys. Only hashes are shuffled, and equal lines collapse before they are.
+under common keys. Only hashes are shuffled, and equal lines collapse before they are. Lines that share a segment but
+differ elsewhere (variants of one line) are parted by the place where they leave a common pivot; see links.py.
 
 Verify: the common prefix and suffix are cut off by halving steps; on what remains the edit distance is computed along
 a band of 2 * EDITS + 1 diagonals whose differences are kept as bits of one integer each, one step per character.
@@ -24,20 +25,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging
+from orrery.llm.common import Staging, each_of, has_word
 from orrery.llm.links import link
-from orrery.llm.rules import WHITE
 
 EDITS = 2
-NEAR_CHARS = 24
+#: One edit for so many characters of the shorter line.
+PER = 12
+#: Cells of the grid over the places of a pivot, on each side.
+GRID = 16
 #: Hashes up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
 
-def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, WHITE, "")) > 0
-
-
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of a line: even cuts, the later segments one longer."""
     parts = edits + 1
@@ -47,15 +46,22 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return (F.lit(1) + least * i + before).cast("int"), (least + (F.lit(i) >= F.lit(parts) - longer).cast("int")).cast("int")
 
 
-def keys_of(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Index and probe keys of a line of at least (edits + 1)^2 characters, each once."""
+def key_places(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(shorter, segment, move) of each key of a line: as the shorter line itself, or as one longer by `shorter` characters."""
     out = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
-            start, size = _segment(length - shorter, i, edits)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                out.append(F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + move, size)))
+            out += [(shorter, i, move) for move in range(low, high + 1)]
+    return out
+
+
+def keys_of(line: Column, length: Column, edits: int = EDITS) -> Column:
+    """Index and probe keys of a line of at least (edits + 1)^2 characters, each once."""
+    out = []
+    for shorter, i, move in key_places(edits):
+        start, size = _segment(length - shorter, i, edits)
+        out.append(F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + move, size)))
     return F.array(*out)
 
 
@@ -89,84 +95,146 @@ def within(a: str, b: str, edits: int = EDITS) -> Column:
                  else {band} <= {e} end)[0]""")
 
 
+def _reach(a: str, b: str, edits: int) -> str:
+    """array(p, r) as SQL: the length of the common prefix of columns a and b, and how far into a some prefix of b goes
+    within `edits` edits. On each diagonal the furthest place after one more edit comes from three places before it.
+    """
+    same = lambda i, j: f"aggregate(r.hops, 0, (p, s) -> if({i} + p + s <= length(r.a) and {j} + p + s <= length(r.b) and substring(r.a, {i} + p + 1, s) = substring(r.b, {j} + p + 1, s), p + s, p))"
+    hops = f"reverse(transform(sequence(0, cast(floor(log2(greatest(1, least(length({a}), length({b}))))) as int)), i -> cast(power(2, i) as int)))"
+    state = f"transform(array(named_struct('a', {a}, 'b', {b}, 'hops', {hops})), r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', {same(0, 0)}))"
+    state = f"transform({state}, r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', r.p, 'f', array(r.p)))"
+    for e in range(1, edits + 1):
+        at = lambda d: f"r.f[{d + e - 1}]"  # noqa: B023, E731
+        starts = []
+        for d in range(-e, e + 1):
+            before = [at(d) + " + 1"] * (abs(d) < e) + [at(d + 1) + " + 1"] * (abs(d + 1) < e) + [at(d - 1)] * (abs(d - 1) < e)
+            starts.append(before[0] if len(before) == 1 else f"greatest({', '.join(before)})")
+        state = f"transform({state}, r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', r.p, 'f', array({', '.join(starts)})))"
+        state = f"transform({state}, r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', r.p, 'f', transform(r.f, (i, k) -> least(length(r.a), i + {same('i', f'(i + k - {e})')}))))"
+    return f"transform({state}, r -> array(r.p, array_max(r.f)))[0]"
+
+
+def _differences(stage: Staging, pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(key, cid, ...): cells of the places where each line leaves its pivot, from the front and from the back.
+
+    A line leaves its pivot after their common prefix (low), and is away for good where no prefix of it is within `edits`
+    edits of the pivot any more (high). Of two linked lines, the one that stays longer equals the pivot up to its own low,
+    so the other one is within the edits of the pivot up to there: the ranges from low to high overlap. So do those from
+    the back. Rows are cells of a grid over both ranges; a pair counts in the first cell that it has in common.
+    """
+    tx = texts.select("cid", "line")
+    tp = texts.select(F.col("cid").alias("pivot"), F.col("line").alias("pivot_line"))
+    both = pairs.join(tx, "cid").join(tp, "pivot").select("pivot", "cid", "line", "pivot_line", F.reverse("line").alias("back"), F.reverse("pivot_line").alias("pivot_back"))
+    ends = both.select("pivot", "cid", F.expr(f"greatest(8, length(pivot_line) div {GRID} + 1)").cast("int").alias("w"), F.expr(_reach("pivot_line", "line", edits)).alias("f"), F.expr(_reach("pivot_back", "back", edits)).alias("b"))
+    ends = stage.keep(ends).select("pivot", "cid", "w", *[F.get(c, F.lit(k)).alias(n) for n, c, k in (("f0", "f", 0), ("f1", "f", 1), ("b0", "b", 0), ("b1", "b", 1))])
+    cells = ends.withColumn("fc", F.expr("explode(sequence(cast(f0 div w as int), cast(f1 div w as int)))")).withColumn("bc", F.expr("explode(sequence(cast(b0 div w as int), cast(b1 div w as int)))"))
+    return cells.select(F.xxhash64("pivot", "fc", "bc").alias("key"), "cid", "w", "f0", "f1", "b0", "b1", "fc", "bc")
+
+
+MEET = "f0_x <= f1_y and f0_y <= f1_x and b0_x <= b1_y and b0_y <= b1_x and fc_x = greatest(f0_x, f0_y) div w_x and bc_x = greatest(b0_x, b0_y) div w_x"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, pos, line, h) of the lines with a word; rid tells documents apart."""
+    """(doc_id, rid, rid2, pos, line, h, g) of the lines with a word; rid, rid2 tell documents apart, h, g lines (128 bits each)."""
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return d.where(has_word(F.col("line"))).withColumn("h", F.xxhash64("line"))
+    d = d.select("doc_id", *_rid(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return d.where(has_word(F.col("line"))).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
+
+
+def _rid(text: Column) -> list[Column]:
+    return [F.xxhash64("doc_id", text).alias("rid"), F.xxhash64(F.lit(1), F.col("doc_id"), text).alias("rid2")]
 
 
-def _by_ids(rows: DataFrame, ids: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows whose `column` is among staged ids: broadcast up to a bound, joined by shuffling beyond."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(ids.withColumnRenamed(name, "wanted"), F.col(column) == F.col("wanted"), "left_semi")
+def _cid() -> Column:
+    """A line by all its bits."""
+    return F.concat(F.hex("h"), F.lit(":"), F.hex("g"))
 
 
-def classes(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """(h, label, n, at): each distinct line's hash, class, occurrences and first occurrence (doc_id, pos), staged.
+def _by_ids(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose `columns` are among staged ids: broadcast up to a bound, joined by shuffling beyond."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, columns, "left_semi")
+
+
+def classes(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """(h, g, label, n, at): each distinct line's hashes, class, occurrences and first occurrence (doc_id, pos), staged.
 
     Only lines that occur twice or more, or are linked with another line, are listed.
     """
     stage = Staging(docs.sparkSession, "lines")
     lines = _lines(docs)
     # The length once, as a column: each key's places are arithmetic on it.
-    sized = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= near_chars)
-    keyed = sized.select("h", F.explode(keys_of(F.col("line"), F.col("n"), edits)).alias("key"))
-    common = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+    sized = lines.select("h", "g", "line", F.length("line").alias("n")).where(F.col("n") >= max(per, (edits + 1) ** 2))
+    keys = keys_of(F.col("line"), F.col("n"), edits)
+    number = len(key_places(edits))
+    # That two lines under one key agree in h by chance is beyond all odds.
+    common = each_of(sized.select("h", keys.alias("keys")), "keys", number, "key").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
     common = stage.keep(common)
-    shared = stage.keep(_by_ids(keyed, common, "key", "key").distinct().withColumnRenamed("h", "cid"))
-    members = stage.keep(shared.select("cid").distinct())
-    texts = stage.keep(_by_ids(lines.select("h", "line"), members, "h", "cid").groupBy("h").agg(F.first("line").alias("line")))
+    keyed = each_of(sized.select("h", "g", keys.alias("keys")), "keys", number, "key")
+    shared = stage.keep(_by_ids(keyed, common, ["key"]).distinct())
+    members = stage.keep(shared.select("h", "g").distinct())
+    texts = _by_ids(lines.select("h", "g", "line"), members, ["h", "g"]).dropDuplicates(["h", "g"])
+    texts = stage.keep(texts.select(_cid().alias("cid"), "line"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        tx = texts.select(F.col("h").alias("x"), F.col("line").alias("tx"))
-        ty = texts.select(F.col("h").alias("y"), F.col("line").alias("ty"))
+        tx = texts.select(F.col("cid").alias("x"), F.col("line").alias("tx"))
+        ty = texts.select(F.col("cid").alias("y"), F.col("line").alias("ty"))
         both = pairs.join(tx, "x").join(ty, "y").where(F.abs(F.length("tx") - F.length("ty")) <= edits)
-        return both.where(within("tx", "ty", edits)).select("x", "y")
-
-    labels = link(stage, shared, members, confirm)
-    counted = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
-    found = counted.join(labels.withColumnRenamed("cid", "c"), F.col("h") == F.col("c"), "left").where("n > 1 or c is not null")
-    out = stage.keep(found.select("h", F.coalesce("label", "h").alias("label"), "n", "at"))
-    stage.drop(common, shared, texts)
+        shorter, near = F.least(F.length("tx"), F.length("ty")), within("tx", "ty", edits)
+        for e in range(edits - 1, 0, -1):
+            near = F.when(shorter < (e + 1) * per, within("tx", "ty", e)).otherwise(near)
+        return both.where(near).select("x", "y")
+
+    ids = members.select(_cid().alias("cid"), "h", "g")
+    labels = link(stage, shared.select("key", _cid().alias("cid")), ids.select("cid"), confirm, lambda pairs: _differences(stage, pairs, texts, edits), MEET)
+    counted = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    known = labels.join(ids, "cid").select("h", "g", "label")
+    found = counted.join(known, ["h", "g"], "left").where("n > 1 or label is not null")
+    out = stage.keep(found.select("h", "g", F.coalesce("label", _cid()).alias("label"), "n", "at"))
+    stage.drop(common, shared, members, texts, labels)
     return out
 
 
-def dropped(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """(rid, exact, near): places of the lines that go from each document; equal to an earlier line, or only close to one."""
-    known = classes(docs, edits, near_chars)
+def dropped(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """(rid, rid2, exact, near): places of the lines that go from each document; equal to an earlier line, or only close to one."""
+    known = classes(docs, edits, per)
     first = known.groupBy("label").agg(F.min("at").alias("stays"))
-    status = known.join(first, "label").select(F.col("h").alias("line_h"), "at", "stays")
-    rows = _lines(docs).select("doc_id", "rid", "pos", "h").join(status, F.col("h") == F.col("line_h"))
+    status = known.join(first, "label").select("h", "g", "at", "stays")
+    rows = _lines(docs).select("doc_id", "rid", "rid2", "pos", "h", "g").join(status, ["h", "g"])
     here = F.struct("doc_id", "pos")
     same = lambda p, q: p["doc_id"].eqNullSafe(q["doc_id"]) & (p["pos"] == q["pos"])
     gone = rows.where(~same(here, F.col("stays"))).withColumn("near", same(here, F.col("at")))
-    return gone.groupBy("rid").agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
+    return gone.groupBy("rid", "rid2").agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
 
 
-def _rewritten(docs: DataFrame, edits: int, near_chars: int) -> DataFrame:
+def _rewritten(docs: DataFrame, edits: int, per: int) -> DataFrame:
     """Documents with their kept text, the number of lines with words, and of those that go."""
-    gone = dropped(docs, edits, near_chars).withColumnRenamed("rid", "gone_rid")
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"))
-    d = d.join(gone, F.col("rid") == F.col("gone_rid"), "left")
+    d = docs.select(F.struct(*docs.columns).alias("row"), *_rid(F.coalesce("text", F.lit(""))))
+    d = d.join(dropped(docs, edits, per), ["rid", "rid2"], "left")
     none = F.expr("cast(array() as array<int>)")
-    d = d.withColumn("go", F.concat(F.coalesce("exact", none), F.coalesce("near", none)))
+    d = d.select("row", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
     lines = F.split(text, "\n")
-    kept = F.when(F.size("go") == 0, text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("go"), i)), "\n"))
-    return d.select("row", kept.alias("kept"), F.size(F.filter(lines, has_word)).alias("n_lines"), F.size(F.coalesce("exact", none)).alias("n_exact"), F.size(F.coalesce("near", none)).alias("n_near"))
+    kept = F.when(F.size("exact") + F.size("near") == 0, text).otherwise(_without(lines, F.array_sort(F.concat("exact", "near"))))
+    return d.select("row", kept.alias("kept"), F.size(F.filter(lines, has_word)).alias("n_lines"), F.size("exact").alias("n_exact"), F.size("near").alias("n_near"))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines joined again but for those at the ascending places `gone`: what lies between two of them goes together."""
+    packed = F.array(F.struct(lines.alias("l"), F.concat(F.array(F.lit(-1)), gone).alias("g")))
+    runs = lambda r: F.transform(r["g"], lambda p, k: F.slice(r["l"], p + 2, F.greatest(F.coalesce(F.get(r["g"], k + 1), F.size(r["l"])) - p - 1, F.lit(0))))
+    return F.transform(packed, lambda r: F.array_join(F.flatten(runs(r)), "\n"))[0]
 
 
-def digest(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def digest(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """One row per document: doc_id, n_lines (with a word), n_exact and n_near that go, kept_sha256 of the text that stays."""
-    d = _rewritten(docs.select("doc_id", "text"), edits, near_chars)
+    d = _rewritten(docs.select("doc_id", "text"), edits, per)
     return d.select("row.doc_id", F.col("n_lines").cast("long"), F.col("n_exact").cast("long"), F.col("n_near").cast("long"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def clean(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def clean(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """Documents with the text that stays (and its n_chars); those left without a word by it go."""
     names = docs.columns
-    d = _rewritten(docs, edits, near_chars).where("n_lines = 0 or n_exact + n_near < n_lines")
+    d = _rewritten(docs, edits, per).where("n_lines = 0 or n_exact + n_near < n_lines")
     new = {"text": F.when(F.col("n_exact") + F.col("n_near") == 0, F.col("row.text")).otherwise(F.col("kept"))}
     if "n_chars" in names:
         new["n_chars"] = F.when(F.col("n_exact") + F.col("n_near") == 0, F.col("row.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))

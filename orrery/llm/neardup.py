@@ -9,15 +9,13 @@ once per place left out, so both land under a common key: every pair under that
 keys a class and no pairs enumerated yet. The number of chunks follows the similarity asked for, so that a pair at it
 misses all keys with a chance below 1e-6: 8 chunks at 0.85, 11 at 0.80.
 
-Links are found without emitting all pairs of a key:
-  star rounds: under each key all classes are compared with one pivot of that round (a pair once, whatever the number
-    of common keys), first by signature distance, then on full sets; confirmed links join components;
-  then the classes under keys that still hold several components are compared by an exact prefix index: two sets of that
-    similarity share one of the n - ceil(s n) + 1 shingles of each that are rarest among these classes. Copies that differ
-    from one another too much to be linked share no such shingle, however many they are.
-Pairs within one component need no comparison, since links within it change nothing; so the components are exactly those
-of all links among found pairs, and no partner or candidate is capped. Components come from rounds of minimum labels with
-pointer jumping on tables in the shared folder; nothing of a document reaches the driver but counts.
+Links are found without emitting all pairs of a key (see links.py): under each key the classes are compared with one
+pivot, first by signature distance, then on full sets, and confirmed links join components; what is left meets under the
+rarest shingles by which it differs from its pivot. Copies that differ from one another too much to be linked share no
+such shingle, however many they are. No partner or candidate is capped. Components come from rounds of minimum labels
+with pointer jumping on tables in the shared folder; nothing of a document reaches the driver but counts.
+
+A class is named by 128 bits of hash; within a pair, shingles are compared by 64 bits.
 
 Defined results: null and blank texts have an empty set, are linked with nothing and kept; texts of 1 to 4 words are one
 shingle, their whole sequence; rows with a null doc_id take part and are never kept if linked with a row that has an id,
@@ -35,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, ascii_lower, bounded_batches, words_of
+from orrery.llm.common import Staging, ascii_lower, bounded_batches, each_of, words_of
 from orrery.llm.links import link
 
 SHINGLE = 5
@@ -110,14 +108,14 @@ def _sign(batches: Iterator[pd.DataFrame], places: int) -> Iterator[pd.DataFrame
         for part in np.split(full, np.flatnonzero(np.diff(np.cumsum(n[full]) // 2_000_000)) + 1) if len(full) else []:
             for i, s in zip(part, signatures([b["s"].iloc[i] for i in part], places)):
                 sig[i] = s
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "cid": b["cid"], "sig": sig})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "n": n, "c1": b["c1"], "c2": b["c2"], "sig": sig})
 
 
 def _keys(classes: DataFrame, chunks: int) -> DataFrame:
-    """(key, cid): per chunk one key for each place left out."""
+    """(key, c1, c2): per chunk one key for each place left out."""
     sig = F.col("sig")
     keys = [F.xxhash64(F.lit(c * WIDTH + e), *[sig[c * WIDTH + k] for k in range(WIDTH) if k != e]) for c in range(chunks) for e in range(WIDTH)]
-    return classes.select("cid", F.explode(F.array(*keys)).alias("key"))
+    return each_of(classes.select("c1", "c2", F.array(*keys).alias("keys")), "keys", chunks * WIDTH, "key")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -125,55 +123,71 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     stage = Staging(spark, "neardup")
-    texts = docs.select("doc_id", "text")
-    sets = texts.select("doc_id", shingles(F.col("text")).alias("s")).select("doc_id", "s", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("cid"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sets = texts.select("doc_id", F.xxhash64("text").alias("t"), shingles(F.col("text")).alias("s"))
+    # A set is told from others by 128 bits of hash; the text's hash only finds its row again under a doc_id.
+    sets = sets.select("doc_id", "t", "s", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(SEED), "s").alias("c2"))
     chunks = chunks_for(percent)
-    signed = stage.keep(sets.mapInPandas(lambda batches: _sign(batches, chunks * WIDTH), "doc_id long, n long, cid long, sig array<int>"))
-    classes = stage.keep(signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    signed = stage.keep(sets.mapInPandas(lambda batches: _sign(batches, chunks * WIDTH), "doc_id long, t long, n long, c1 long, c2 long, sig array<int>"))
+    classes = stage.keep(signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t")).alias("rep"), F.first("sig").alias("sig")))
     keys = _keys(classes, chunks)
-    common = keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("key")
+    # Keys of two classes or more; that two classes under one key agree in c1 by chance is beyond all odds.
+    common = keys.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("key")
     # Rows under keys of two classes or more; all that follows works on these.
-    shared = stage.keep(keys.join(common, "key"))
+    shared = stage.keep(keys.join(common, "key").select("key", _cid().alias("cid")))
     members = shared.select("cid").distinct()
-    sigs = stage.keep(classes.join(members, "cid", "left_semi").select("cid", "rep", "sig"))
+    sigs = stage.keep(classes.withColumn("cid", _cid()).join(members, "cid", "left_semi").select("cid", "c1", "c2", "first", "rep", "sig"))
     full = stage.keep(_sets_of(texts, sigs))
-    labels = link(stage, shared, sigs, lambda pairs: _confirmed(pairs, sigs, full, percent), finer=lambda rows, now: _prefixes(stage, rows, now, full, percent), fits=_positions(percent))
-    root = labels.join(sigs.select("cid", "rep"), "cid").groupBy("label").agg(F.min("rep").alias("component"))
-    top = stage.keep(labels.join(root, "label").select(F.col("cid").alias("c"), "component"))
-    stage.drop(shared, full)
-    out = signed.join(top, F.col("cid") == F.col("c"), "left").join(classes.select(F.col("cid").alias("c2"), "rep"), (F.col("cid") == F.col("c2")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
+    labels = link(stage, shared, sigs.select("cid"), lambda pairs: _confirmed(pairs, sigs, full, percent), lambda pairs: _differences(stage, pairs, full, percent), _room(percent))
+    at = labels.join(sigs.select("cid", "c1", "c2", "first"), "cid")
+    root = at.groupBy("label").agg(F.min("first").alias("component"))
+    top = stage.keep(at.join(root, "label").select("c1", "c2", "component"))
+    reached = stage.keep(classes.select("c1", "c2", "first").join(top, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "first").alias("component")))
+    stage.drop(shared, full, sigs, classes, labels, top)
+    out = signed.join(reached, ["c1", "c2"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _cid() -> Column:
+    """A class by all its bits."""
+    return F.concat(F.hex("c1"), F.lit(":"), F.hex("c2"))
+
+
 def _sets_of(texts: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(cid, s, n): the full sets of classes, from the text of each one's first document."""
-    ids = sigs.select(F.col("cid").alias("c"), F.col("rep"))
+    """(cid, s, n): the full sets of classes, each from the text of its first document."""
+    ids = sigs.select("cid", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("t"))
     if sigs.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", shingles(F.col("text")).alias("s"))
-    # Equal doc_ids with different texts: only the row with the class's own set counts.
-    rows = rows.select("c", "s", F.xxhash64("s").alias("h")).where("c = h")
-    return rows.groupBy("c").agg(F.first("s").alias("s")).select(F.col("c").alias("cid"), "s", F.size("s").alias("n"))
-
-
-def _prefixes(stage: Staging, shared: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(key, cid, n, at): the rarest shingles of each class under keys of several components, and their places in its order."""
-    rows = shared.join(labels, "cid")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    open_ids = rows.join(mixed, "key", "left_semi").select("cid").distinct()
-    each = stage.keep(full.join(open_ids, "cid").select("cid", "n", F.explode("s").alias("shingle")))
-    several = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("t"))).select("cid", "text")
+    # Repeated rows: one text is enough.
+    return rows.dropDuplicates(["cid"]).select("cid", shingles(F.col("text")).alias("s")).withColumn("n", F.size("s"))
+
+
+def _differences(stage: Staging, pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n, d, at): the rarest shingles by which each class differs from its pivot, and their places in that order.
+
+    With D = set xor pivot, the symmetric difference of two sets is that of their Ds. Sets of the asked-for similarity
+    differ in at most (n_x + n_y)(1 - s) / (1 + s) shingles, fewer than n_x (1 - s) / s. What is not linked with the pivot
+    has a D larger than that, so the Ds of a linked pair have shingles in common, all but the said number of each; by the
+    prefix principle one of them is among as many and one of either's rarest.
+    """
+    fx, fp = full.select("cid", "n", "s"), full.select(F.col("cid").alias("pivot"), F.col("s").alias("ps"))
+    apart = F.concat(F.array_except("s", "ps"), F.array_except("ps", "s"))
+    both = stage.keep(pairs.join(fx, "cid").join(fp, "pivot").select("pivot", "cid", "n", apart.alias("apart")))
+    each = both.select("pivot", "cid", "n", F.size("apart").alias("d"), F.explode("apart").alias("shingle"))
+    several = each.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Shingles of one class only come first in its order, but join nothing.
-    own = each.join(several, "shingle").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
-    first = F.col("n") - F.size("common")
-    places = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1 - first
-    return own.where(places > 0).select("cid", "n", first.alias("first"), F.posexplode(F.slice("common", F.lit(1), places)).alias("k", "c")).select(F.col("c.shingle").alias("key"), "cid", "n", (F.col("first") + F.col("k")).alias("at"))
+    own = each.join(several, ["pivot", "shingle"]).groupBy("pivot", "cid", "n", "d").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    first = F.col("d") - F.size("common")
+    places = F.least(F.col("d"), F.floor(F.col("n") * F.lit(100 - percent) / percent).cast("int") + 1) - first
+    rows = own.where(places > 0).select("pivot", "cid", "n", "d", first.alias("first"), F.posexplode(F.slice("common", F.lit(1), places)).alias("k", "c"))
+    return rows.select(F.xxhash64("pivot", "c.shingle").alias("key"), "cid", "n", "d", (F.col("first") + F.col("k")).alias("at"))
 
 
-def _positions(percent: int) -> str:
-    """What the first common shingle of a pair must leave room for: an intersection of the asked-for share."""
-    return f"{100 + percent}L * least(n_x - at_x, n_y - at_y) >= {percent}L * (n_x + n_y)"
+def _room(percent: int) -> str:
+    """What the first common difference of a pair must leave room for: so many common differences that the rest is small enough."""
+    return f"{100 + percent}L * (d_x + d_y - 2 * least(d_x - at_x, d_y - at_y)) <= {100 - percent}L * (n_x + n_y)"
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, full: DataFrame, percent: int) -> DataFrame:

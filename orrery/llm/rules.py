@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import words_of
+from orrery.llm.common import WHITE, has_word, words_of
 
 SYMBOLS = "#*$%&|<>"
-WHITE = " \t\n\x0b\f\r"
 #: Low bits of a sort key that hold a word position; longer documents sort structs instead.
 POSITION_BITS = 20
 
@@ -47,7 +46,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         words_of(F.col("text")).alias("w"),
         F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias("lines"),
+        F.filter(F.split("text", "\n"), has_word).alias("lines"),
     )
     d = d.select(
         "doc_id",

@@ -72,10 +72,18 @@ def test_banded_distance(spark):
             assert r.w == (distance(r.p, r.q) <= e), (r, e)
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
-def test_lines_equal_brute_force(spark, docs, monkeypatch, bound):
+@pytest.mark.parametrize("bound, roomy", [(10**6, 4), (0, -1)])
+def test_lines_equal_brute_force(spark, docs, monkeypatch, bound, roomy):
     monkeypatch.setattr(linededup, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(linededup, "link", lambda *a: links.link(*a, roomy=roomy))
     rows = corpus()
+    if roomy < 0:  # variants of one line, and of short lines too
+        rng = random.Random(9)
+        line = " ".join(rng.choice("stone river lamp green idea".split()) for _ in range(14))
+        some = [mutated(rng, line, rng.randint(0, 5)) for _ in range(50)] + [mutated(rng, line[:k], rng.randint(0, 2)) for k in (8, 11, 12, 13, 23, 24, 25) for _ in range(5)]
+        rows += [(100 + k, "\n".join(some[k::4]), "en", 0, 7, 7, "h") for k in range(4)]
+        rows = [(*r[:3], len(r[1] or ""), *r[4:]) for r in rows]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     order = lambda i: (i is not None, i or 0)
     lines = sorted(((order(i), p, x) for i, t, *_ in rows for p, x in enumerate((t or "").split("\n")) if WORD.search(x)))
     first = {}
@@ -88,10 +96,10 @@ def test_lines_equal_brute_force(spark, docs, monkeypatch, bound):
             x = root[x]
         return x
 
-    long = [x for x in first if 24 <= len(x) < 500]
+    long = [x for x in first if len(x) < 500]
     for k, a in enumerate(long):
         for b in long[:k]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 12):
                 root[find(a)] = find(b)
     stays = {}
     for x, at in first.items():
@@ -123,9 +131,10 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("stars", [6, 0])
-def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, stars):
-    monkeypatch.setattr(neardup, "link", lambda *a, **k: links.link(*a, **k, stars=stars))
+@pytest.mark.parametrize("stars, roomy, bound", [(4, 4, 10**6), (1, -1, 0)])
+def test_near_duplicates_equal_brute_force(spark, docs, monkeypatch, stars, roomy, bound):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(neardup, "link", lambda *a: links.link(*a, stars=stars, roomy=roomy))
     rows = [r[:2] for r in corpus()]
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
