@@ -18,71 +18,88 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches, words_of
-from orrery.llm.rules import WHITE
+from orrery.llm.common import WHITE, bounded_batches, words_of
 
 SAMPLE = 20_000
 BINS, LEAVES, ROUNDS, RATE = 64, 3, 300, 0.08
 PAIRS, COARSE, PAIR_ROUNDS, LEAST = 6, 8, 100, 5.0
 CUT = 0.3
 
-#: Feature name -> SQL over c (characters), n (words), the counts below and the text.
-FEATURES: dict[str, str] = {
-    "log_chars": "ln(1e0 + c)",
-    "log_words": "ln(1e0 + n)",
-    "word_length": "least(50e0, wc / greatest(n, 1e0))",
-    "symbols_per_word": "sym / greatest(n, 1e0)",
-    "bangs_per_word": "bang / greatest(n, 1e0)",
-    "pipes_per_word": "pipe / greatest(n, 1e0)",
-    "upper_share": "up / greatest(wc, 1e0)",
-    "lower_share": "low / greatest(wc, 1e0)",
-    "digit_share": "dig / greatest(wc, 1e0)",
-    "stops_per_word": "stop / greatest(n, 1e0)",
-    "marks_per_word": "mark / greatest(n, 1e0)",
-    "words_per_line": "least(1e4, n / greatest(lines, 1e0))",
-    "distinct_words": "dw / greatest(n, 1e0)",
-    "distinct_lines": "dl / greatest(lines, 1e0)",
-    "repeats_in_a_row": "rep / greatest(n, 1e0)",
+
+
+def _log(a: str) -> Callable[[Column], Column]:
+    return lambda m: F.log1p(m[a])
+
+
+def _share(a: str, b: str) -> Callable[[Column], Column]:
+    return lambda m: m[a] / F.greatest(m[b], F.lit(1.0))
+
+
+#: Feature name -> its value from the counts of `measures`.
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "log_chars": _log("chars"),
+    "log_words": _log("words"),
+    "word_length": _share("word_chars", "words"),
+    "symbols_per_word": _share("symbols", "words"),
+    "bangs_per_word": _share("bangs", "words"),
+    "pipes_per_word": _share("pipes", "words"),
+    "upper_share": _share("upper", "word_chars"),
+    "lower_share": _share("lower", "word_chars"),
+    "digit_share": _share("digits", "word_chars"),
+    "stops_per_word": _share("stops", "words"),
+    "marks_per_word": _share("marks", "words"),
+    "words_per_line": _share("words", "lines"),
+    "distinct_words": _share("distinct_words", "words"),
+    "distinct_lines": _share("distinct_lines", "lines"),
+    "repeats_in_a_row": _share("repeats", "words"),
+}
+#: Character counts: the characters of each.
+COUNTED = {
+    "symbols": "#*$%&|<>",
+    "bangs": "!",
+    "pipes": "|",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ",
+    "lower": "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß",
+    "digits": "0123456789",
+    "stops": ".",
+    "marks": ",;:?\"'()[]{}/\\@=_-",
 }
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)"
 
 
+def measures(text: Column) -> Column:
+    """The features of a text as a struct of doubles. Words and lines are bound once, so no plan splits a text again."""
+    bound = F.transform(F.array(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("t"), words_of(t).alias("w"), F.split(t, "\n").alias("ls")))
+
+    def counts(r: Column) -> Column:
+        t, w, ls = r["t"], r["w"], r["ls"]
+        found = {
+            "chars": F.length(t),
+            "word_chars": F.length(F.translate(t, WHITE, "")),
+            "words": F.size(w),
+            "distinct_words": F.size(F.array_distinct(w)),
+            "lines": F.size(ls),
+            "distinct_lines": F.size(F.array_distinct(ls)),
+            "repeats": F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))),
+        }
+        found |= {name: F.length(t) - F.length(F.translate(t, chars, "")) for name, chars in COUNTED.items()}
+        return F.struct(*[c.cast("double").alias(name) for name, c in found.items()])
+
+    return F.transform(F.transform(bound, counts), lambda m: F.struct(*[f(m).alias(name) for name, f in FEATURES.items()]))[0]
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and the features, as doubles."""
-    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    count = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("double")
-    d = d.select(
-        "doc_id",
-        F.length("text").cast("double").alias("c"),
-        F.length(F.translate("text", WHITE, "")).cast("double").alias("wc"),
-        count("#*$%&|<>").alias("sym"),
-        count("!").alias("bang"),
-        count("|").alias("pipe"),
-        count("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ").alias("up"),
-        count("abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß").alias("low"),
-        count("0123456789").alias("dig"),
-        count(".").alias("stop"),
-        count(",;:?\"'()[]{}/\\@=_-").alias("mark"),
-        words_of(F.col("text")).alias("w"),
-        F.split("text", "\n").alias("ls"),
-    )
-    d = d.select(
-        "*",
-        F.size("w").cast("double").alias("n"),
-        F.size(F.array_distinct("w")).cast("double").alias("dw"),
-        F.size("ls").cast("double").alias("lines"),
-        F.size(F.array_distinct("ls")).cast("double").alias("dl"),
-        F.expr("cast(size(filter(w, (x, i) -> i > 0 and x = w[greatest(i - 1, 0)])) as double)").alias("rep"),
-    )
-    return d.select("doc_id", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
+    return docs.select("doc_id", measures(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 @dataclass
@@ -232,16 +249,16 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of documents that the classifier doesn't reject, with all their columns; texts never leave their task."""
-    model, names, feature_names = train(docs, labels, sample), docs.columns, list(FEATURES)
+    """The rows of documents that the classifier doesn't reject, with all their columns, which pass by as Arrow batches."""
+    model, names = train(docs, labels, sample), docs.columns
     bounded_batches(docs.sparkSession)
-    # `features` carries one column along under the name doc_id; here that is the whole row.
-    measured = features(docs.select(F.struct(*names).alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
-
-    @F.pandas_udf("double")
-    def scored(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.score(x[feature_names].to_numpy(np.float64)))
 
-    kept = measured.withColumn("p", scored(F.struct(*feature_names))).where(F.col("p") >= CUT)
-    return kept.select(*[F.col("row")[c].alias(c) for c in names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = b.column("f")
+            x = np.stack([f.field(name).to_numpy(zero_copy_only=False) for name in FEATURES], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("row").filter(pa.array(model.score(x) >= CUT))], ["row"])
 
+    # The row as one column: names of the documents clash with none of ours.
+    rows = docs.select(F.struct(*names).alias("row"), measures(F.col("text")).alias("f"))
+    return rows.mapInArrow(run, rows.select("row").schema).select(*[F.col("row")[c].alias(c) for c in names])
