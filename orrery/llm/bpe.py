@@ -269,15 +269,16 @@ class Encoder:
             return raw.decode(errors="replace").encode()
 
 
+def hard(text: str) -> bool:
+    """Whether a space may be no border. Substring searches are far cheaper than the pattern; they settle nearly all texts."""
+    return "  " in text or " \n" in text or "\n " in text or ((not text.isascii() or RARE.search(text) is not None) and UNSAFE.search(text) is not None)
+
+
 def pieces_of(text: str | None) -> tuple[str, list[str]]:
     """The piece at the start, and the others without the space that each begins with."""
     if not text:
         return "", []
-    # Substring searches are far cheaper than the pattern; they settle nearly all texts.
-    if "  " in text or " \n" in text or "\n " in text or ((not text.isascii() or RARE.search(text)) and UNSAFE.search(text)):
-        parts = CUT.split(text)
-    else:
-        parts = text.split(" ")
+    parts = CUT.split(text) if hard(text) else text.split(" ")
     first = parts.pop(0)
     return first, parts
 

@@ -13,12 +13,13 @@ Layout, all little-endian:
 The width is the least that holds PERCENTILE percent of a block's ids; the others are exceptions.
 
 Encoding happens where documents are read; only ids (two bytes each where the vocabulary allows it) are dealt to doc_id
-ranges, whose bounds come from the doc_id column alone. Each task streams its sorted rows into one file in the shared
-folder, under a name of its own that is renamed at the end, so a task that runs again replaces nothing half-written.
-Shard totals (one row per file) give each shard's place in the stream of all documents.
+ranges, whose bounds come from the doc_id column alone; a doc_id of very many rows gets several shards. Each task streams
+its sorted rows into one file in the shared folder, under a name that only this attempt has. The manifest (one row per
+file, of the attempts that Spark counts) says which files there are and gives each shard's place in the stream of all
+documents, so a task that runs again, or twice at a time, replaces nothing; what other attempts left is deleted.
 
 Defined results: null and empty texts hold only the end id; rows with equal doc_id stay apart and are ordered by their
-ids, null doc_id comes first; an empty table writes no file and gives an empty result; further columns are ignored.
+ids (within a shard, where they fill several), null doc_id comes first; an empty table writes no file and gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe
+from orrery.llm.bpe import CUT, hard
 from orrery.llm.common import Staging, bounded_batches
 
 MAGIC = b"PFOR0001"
@@ -45,6 +49,7 @@ PERCENTILE = 90
 END_ID = 2
 #: Blocks that are coded together.
 MANY = 256
+MOST_SHARDS = 10_000
 
 
 # Blocks.
@@ -68,31 +73,84 @@ def _pack(rows: np.ndarray) -> list[bytes]:
     widths = np.ceil(np.log2(np.partition(rest, k, axis=1)[:, k] + 1.0)).astype(np.int64)
     over = rest >= (1 << widths)[:, None]
     rest[over], odd = 0, rest[over]
-    kind = "<u2" if widths.max() <= 16 else "<u4"  # half the bits to lay out where 16 hold a block's packed ids
-    kept = rest.astype(kind)
-    bits = np.unpackbits(kept.view(np.uint8).reshape(len(rows), -1, kept.itemsize), axis=2, bitorder="little")
-    ends = np.cumsum(over.sum(axis=1)).tolist()
+    bodies: list[bytes] = [b""] * len(rows)
+    for w in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == w)
+        for i, body in zip(mine.tolist(), lay(rest[mine], w)):
+            bodies[i] = body.tobytes()
+    n_odd = over.sum(axis=1)
+    ends = np.cumsum(n_odd).tolist()
+    places = np.nonzero(over)[1].astype("<u2")
     out = []
-    for i, w in enumerate(widths.tolist()):
-        places = np.flatnonzero(over[i])
-        body = np.packbits(bits[i, :, :w].reshape(-1), bitorder="little").tobytes() if w else b""
-        out.append(struct.pack("<IBBH", int(least[i]), w, 0, len(places)) + body + places.astype("<u2").tobytes() + odd[ends[i] - len(places) : ends[i]].astype("<u4").tobytes())
+    for low, w, n, end, body in zip(least.tolist(), widths.tolist(), n_odd.tolist(), ends, bodies):
+        out.append(struct.pack("<IBBH", low, w, 0, n) + body + places[end - n : end].tobytes() + odd[end - n : end].astype("<u4").tobytes())
     return out
 
 
-def unpack(data: bytes | memoryview, n: int) -> np.ndarray:
-    """The ids of one block of n ids."""
-    least, w, _, odd = struct.unpack_from("<IBBH", data)
-    size = (n * w + 7) // 8
-    values = np.zeros(n, dtype=np.int64)
-    if w:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, 8), count=n * w, bitorder="little").reshape(n, w)
-        full = np.zeros((n, 16 if w <= 16 else 32), np.uint8)
-        full[:, :w] = bits
-        values[:] = np.packbits(full, axis=1, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, 0]
-    if odd:
-        values[np.frombuffer(data, "<u2", odd, 8 + size)] = np.frombuffer(data, "<u4", odd, 8 + size + 2 * odd)
-    return values + least
+def lay(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below 2**w as rows of bytes, low bits first. Eight values are w bytes: two words hold four each."""
+    m, n = values.shape
+    size, groups = (n * w + 7) // 8, -(-n // 8)
+    if w == 0:
+        return np.empty((m, 0), np.uint8)
+    if w > 16:
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(m, n, 4), axis=2, bitorder="little")[:, :, :w]
+        return np.packbits(bits.reshape(m, n * w), axis=1, bitorder="little")
+    v = np.zeros((m, groups * 8), "<u8")
+    v[:, :n] = values
+    v = v.reshape(m, groups, 8)
+    half = v[:, :, 0::4].copy()
+    for k in range(1, 4):
+        half |= v[:, :, k::4] << np.uint64(k * w)
+    words = np.zeros((m, groups, 2), "<u8")
+    words[:, :, 0], words[:, :, 1] = half[:, :, 0], half[:, :, 1]
+    if w < 16:
+        words[:, :, 0] |= half[:, :, 1] << np.uint64(4 * w)
+        words[:, :, 1] = half[:, :, 1] >> np.uint64(64 - 4 * w)
+    return words.view(np.uint8).reshape(m, groups, 16)[:, :, :w].reshape(m, groups * w)[:, :size]
+
+
+def lift(bodies: np.ndarray, n: int, w: int) -> np.ndarray:
+    """The n values in each row of bytes that `lay` made."""
+    m, groups = len(bodies), -(-n // 8)
+    if w == 0:
+        return np.zeros((m, n), np.int64)
+    if w > 16:
+        bits = np.zeros((m, n, 32), np.uint8)
+        bits[:, :, :w] = np.unpackbits(bodies, axis=1, count=n * w, bitorder="little").reshape(m, n, w)
+        return np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0].astype(np.int64)
+    raw = np.zeros((m, groups * w), np.uint8)
+    raw[:, : bodies.shape[1]] = bodies
+    words = np.zeros((m, groups, 16), np.uint8)
+    words[:, :, :w] = raw.reshape(m, groups, w)
+    words = words.view("<u8")
+    full, mask = np.uint64((1 << 4 * w) - 1), np.uint64((1 << w) - 1)
+    low, high = words[:, :, 0] & full, words[:, :, 1]
+    if w < 16:
+        high = (words[:, :, 0] >> np.uint64(4 * w) | words[:, :, 1] << np.uint64(64 - 4 * w)) & full
+    out = np.empty((m, groups, 8), np.int64)
+    for k in range(4):
+        out[:, :, k], out[:, :, k + 4] = low >> np.uint64(k * w) & mask, high >> np.uint64(k * w) & mask
+    return out.reshape(m, groups * 8)[:, :n]
+
+
+def unpack(blocks: list[bytes | memoryview], sizes: list[int]) -> list[np.ndarray]:
+    """The ids of blocks that hold so many each; blocks of one size and width are taken together."""
+    heads = [struct.unpack_from("<IBBH", b) for b in blocks]
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (n, (_, w, _, _)) in enumerate(zip(sizes, heads)):
+        alike.setdefault((n, w), []).append(i)
+    out: list = [None] * len(blocks)
+    for (n, w), mine in alike.items():
+        size = (n * w + 7) // 8
+        values = lift(np.frombuffer(b"".join([blocks[i][8 : 8 + size] for i in mine]), np.uint8).reshape(len(mine), size), n, w)
+        for i, v in zip(mine, values):
+            least, _, _, odd = heads[i]
+            if odd:
+                v[np.frombuffer(blocks[i], "<u2", odd, 8 + size)] = np.frombuffer(blocks[i], "<u4", odd, 8 + size + 2 * odd)
+            v += least
+            out[i] = v
+    return out
 
 
 # Files.
@@ -106,10 +164,9 @@ class Writer:
     """Streams documents into one shard file."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = _at(uri)
-        self.own = f"{self.path}.{uuid.uuid4().hex}.part"
-        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out = self.fs.open_output_stream(self.own)
+        self.fs, path = _at(uri)
+        self.fs.create_dir(os.path.dirname(path), recursive=True)
+        self.out = self.fs.open_output_stream(path)
         self.out.write(MAGIC)
         self.at, self.n_ids = len(MAGIC), 0
         self.blocks: list[int] = []
@@ -138,13 +195,12 @@ class Writer:
         self.waiting, self.n_waiting = [stream[n:]], len(stream) - n
 
     def close(self) -> tuple[int, int]:
-        """Documents and ids of the file, which is in its place from now on."""
+        """Documents and ids of the file."""
         self._flush(True)
         docs = np.concatenate(self.docs)
         index = np.array(self.blocks, "<u8").tobytes() + docs[:, 0].astype("<i8").tobytes() + docs[:, 1].astype("u1").tobytes() + docs[:, 2].astype("<u8").tobytes()
         self.out.write(index + struct.pack("<QQQQ", self.at, len(self.blocks), len(docs), self.n_ids) + MAGIC)
         self.out.close()
-        self.fs.move(self.own, self.path)
         return len(docs), self.n_ids
 
 
@@ -170,7 +226,8 @@ class Reader:
         first, last = start // BLOCK, (max(stop, start + 1) - 1) // BLOCK
         base = int(self.blocks[first])
         data = memoryview(self.file.read_at(int(self.blocks[last + 1]) - base, base))
-        parts = [unpack(data[int(self.blocks[k]) - base : int(self.blocks[k + 1]) - base], min(BLOCK, self.n_ids - k * BLOCK)) for k in range(first, last + 1)]
+        borders = (self.blocks[first : last + 2] - base).tolist()
+        parts = unpack([data[a:b] for a, b in zip(borders, borders[1:])], [min(BLOCK, self.n_ids - k * BLOCK) for k in range(first, last + 1)])
         return np.concatenate(parts)[start - first * BLOCK : stop - first * BLOCK]
 
     def documents(self, at_once: int = BLOCK * 4096) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -185,6 +242,9 @@ class Reader:
 
 # Encoding with the tokenizers library.
 
+#: Pieces that may be joined in one text: a space, then no other at either end.
+JOINED = "(?s)^ [\\pL\\pN!-~](.*[\\pL\\pN!-~])?$"
+
 
 class LibraryEncoder(bpe.Encoder):
     """Pieces go to the tokenizers library, each distinct one once, many in one text."""
@@ -199,20 +259,86 @@ class LibraryEncoder(bpe.Encoder):
         self.library.no_padding()
         self.n_bytes = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. Pieces are cut and numbered by Arrow, so the cache is asked
+        once for each distinct piece of a batch, and ids are gathered by numbers.
+        """
+        texts = [t or "" for t in texts]
+        easy = [not hard(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t for t, e in zip(texts, easy) if e], pa.string()), " ")
+        borders, values = cut.offsets.to_numpy(), cut.values
+        heads = borders[:-1]
+        rest = np.ones(len(values), bool)
+        rest[heads] = False
+        counts = iter((np.diff(borders) - 1).tolist())
+        firsts = iter(values.take(pa.array(heads)).to_pylist())
+        # The pieces of each text in their order: those of easy texts lie one after the other, then those of the others.
+        first, count, others = [], [], []
+        for t, e in zip(texts, easy):
+            if e:
+                first.append(next(firsts))
+                count.append(next(counts))
+            else:
+                head, *more = CUT.split(t)
+                first.append(head)
+                count.append(len(more))
+                others += more
+        column = pa.concat_arrays([values.filter(pa.array(rest)), pa.array(others, pa.string())]).dictionary_encode()
+        pieces = column.dictionary.to_pylist()
+        found = self._known(pieces, set(first))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = column.indices.to_numpy()
+        size = lens[codes]
+        ends = np.cumsum(size)
+        flat = ids[np.repeat((np.cumsum(lens) - lens)[codes] - (ends - size), size) + np.arange(int(size.sum()))]
+        ends = np.concatenate([[0], ends])
+        out, at, odd = [], 0, len(values) - len(heads)
+        for head, n, e in zip(first, count, easy):
+            k = at if e else odd
+            out.append(self.start[head] + flat[ends[k] : ends[k + n]].tobytes())
+            at, odd = (at + n, odd) if e else (at, odd + n)
+        self._forget(pieces, set(first))
+        return out
+
+    def _known(self, pieces: list[str], heads: set[str]) -> list[bytes]:
+        """The ids of distinct pieces; those of texts' first pieces go to `start`."""
+        # Two generations: what the younger one lacks is taken over from the older one, so pieces in use stay.
+        if len(self.space) > bpe.CACHE // 2:
+            self.older, self.space = self.space, {}
+        if len(self.start) > bpe.CACHE // 8:
+            self.start = {}
+        space, older = self.space, self.older
+        lacking = [p for p in pieces if p not in space]
+        fresh = [p for p in lacking if p not in older]
+        if len(fresh) < len(lacking):
+            space.update([(p, older[p]) for p in lacking if p in older])
+        fresh0 = [p for p in heads if p not in self.start]
+        found = self._encoded([" " + p for p in fresh] + fresh0)
+        space.update(zip(fresh, found))
+        self.start.update(zip(fresh0, found[len(fresh) :]))
+        return [space[p] for p in pieces]
+
+    def _forget(self, pieces: list[str], heads: set[str]) -> None:
+        for known, names in ((self.space, pieces), (self.start, heads)):
+            for p in names:
+                if len(p) > bpe.LONG_PIECE:
+                    del known[p]
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Pieces that begin with a space are joined: no token spans the border, so byte counts part the ids again."""
-        joined, alone = [], []
-        for i, p in enumerate(pieces):
-            (joined if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() and "<|" not in p and p[1] != "\x1c" else alone).append(i)
+        column = pa.array(pieces, pa.string())
+        plain = pc.and_not(pc.match_substring_regex(column, JOINED), pc.match_substring(column, "<|")).to_numpy(zero_copy_only=False)
+        n_bytes, joined, alone = pc.binary_length(column).to_numpy(), np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
         groups = [joined[k : k + 500] for k in range(0, len(joined), 500)]
         out: list[bytes] = [b""] * len(pieces)
-        found = self.library.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups] + [pieces[i] for i in alone], add_special_tokens=False)
-        for g, e in zip(groups, found):
+        named = [g.tolist() for g in groups]
+        found = self.library.encode_batch_fast(["".join([pieces[i] for i in g]) for g in named] + [pieces[i] for i in alone], add_special_tokens=False)
+        for g, names, e in zip(groups, named, found):
             ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            borders = np.cumsum([len(pieces[i].encode()) for i in g])
+            stops = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[g]), side="right")).tolist()
             raw, cut = ids.tobytes(), 0
-            for i, stop in zip(g, (4 * np.searchsorted(ends, borders, side="right")).tolist()):
+            for i, stop in zip(names, stops):
                 out[i] = raw[cut:stop]
                 cut = stop
         for i, e in zip(alone, found[len(groups) :]):
@@ -228,56 +354,76 @@ def library_encoder(path: str | None) -> LibraryEncoder:
 # The operator.
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, shards: int | None = None) -> list[tuple[int, int, int]]:
-    """Writes the shard files of documents into a folder: (shard, documents, ids) of each, in ascending doc_id order."""
+def _cuts(docs: DataFrame, shards: int | None) -> list[float]:
+    """Ascending doc_ids that part the shards; one that holds several quantiles is there several times."""
+    if not shards:
+        shards = min(MOST_SHARDS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(docs.inputFiles())))
+    return sorted(docs.where("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)) if shards > 1 else []
+
+
+def _shard(doc_ids: pd.Series, ids: list[bytes], cuts: list[float]) -> np.ndarray:
+    at = doc_ids.astype("float64").fillna(-np.inf).to_numpy()
+    low, high = np.searchsorted(cuts, at, side="left"), np.searchsorted(cuts, at, side="right")
+    for i in np.flatnonzero(high - low > 1):
+        high[i] = low[i] + 1 + zlib.crc32(ids[i]) % (high[i] - low[i])
+    return high.astype(np.int32)
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, shards: int | None = None) -> list[tuple[int, int, int, str]]:
+    """Writes the shard files of documents into a folder: (shard, documents, ids, file) of each, in ascending doc_id order."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards))) if shards > 1 else []
-    kind = np.dtype("<u2")
+    cuts = _cuts(docs, shards)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = library_encoder(path)
         wide = e.size > 1 << 16
+        end = np.array([END_ID], "<u4" if wide else "<u2").tobytes()
         for b in batches:
-            found = e.encode_batch(b["text"])
-            end = np.array([END_ID], "<u4").tobytes()
-            ids = [x + end if wide else np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids, "wide": wide, "shard": np.searchsorted(cuts, b["doc_id"].astype("float64").fillna(-np.inf), side="right").astype(np.int32)})
-
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, at, done = None, None, []
-        for b in batches:
-            for shard, part in b.groupby("shard", sort=False):
-                if shard != at:
-                    if now:
-                        done.append((at, *now.close()))
-                    now, at = Writer(f"{folder}/shard-{int(shard):06d}.pfor"), int(shard)
-                ids = [np.frombuffer(x, "<u4" if w else "<u2").astype(np.int64) for x, w in zip(part["ids"], part["wide"])]
-                now.add(part["doc_id"].fillna(0).to_numpy(np.int64), part["doc_id"].isna().to_numpy(), ids)
-        if now:
-            done.append((at, *now.close()))
-        yield pd.DataFrame(done, columns=["shard", "n_docs", "n_ids"])
+            ids = [x + end if wide else np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in e.encode_batch(b["text"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids, "wide": wide, "shard": _shard(b["doc_id"], ids, cuts)})
 
     encoded = docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary, wide boolean, shard int")
-    dealt = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    rows = dealt.mapInPandas(store, "shard int, n_docs long, n_ids long").collect()  # one row per file
-    return sorted((r[0], r[1], r[2]) for r in rows)
-
-
-def read(spark, folder: str, manifest: list[tuple[int, int, int]], digest: bool = False) -> DataFrame:
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
+    rows = dealt.mapInPandas(lambda batches: _store(batches, folder), "shard int, n_docs long, n_ids long, file string").collect()  # one row per file
+    known = {r[3] for r in rows}
+    files, at = _at(folder)
+    for f in files.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        if f.base_name not in known:
+            files.delete_file(f.path)
+    return sorted((r[0], r[1], r[2], r[3]) for r in rows)
+
+
+def _store(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    """Sorted rows into one file per shard, under names of this attempt."""
+    now, at, file, done = None, None, "", []
+    for b in batches:
+        for shard, part in b.groupby("shard", sort=False):
+            if shard != at:
+                if now:
+                    done.append((at, *now.close(), file))
+                at, file = int(shard), f"shard-{int(shard):06d}-{uuid.uuid4().hex}.pfor"
+                now = Writer(f"{folder}/{file}")
+            ids = [np.frombuffer(x, "<u4" if w else "<u2").astype(np.int64) for x, w in zip(part["ids"], part["wide"])]
+            now.add(part["doc_id"].fillna(0).to_numpy(np.int64), part["doc_id"].isna().to_numpy(), ids)
+    if now:
+        done.append((at, *now.close(), file))
+    yield pd.DataFrame(done, columns=["shard", "n_docs", "n_ids", "file"])
+
+
+def read(spark, folder: str, manifest: list[tuple[int, int, int, str]], digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and the ids, or their crc32, of every document of the files."""
     rows, before = [], 0
-    for shard, _, n in manifest:
-        rows.append((shard, before))
+    for _, _, n, file in manifest:
+        rows.append((file, before))
         before += n
-    places = spark.createDataFrame(rows, "shard int, before long").repartition(max(1, len(rows)), "shard")
+    places = spark.createDataFrame(rows, "file string, before long").repartition(max(1, len(rows)), "file")
     last = "ids_crc32 long" if digest else "ids array<int>"
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, start in zip(b["shard"], b["before"]):
-                r = Reader(f"{folder}/shard-{int(shard):06d}.pfor")
+            for file, start in zip(b["file"], b["before"]):
+                r = Reader(f"{folder}/{file}")
                 for k, j, ids in r.documents():
                     out = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids] if digest else [x.astype(np.int32) for x in ids]
                     ids_of = pd.array(r.doc_ids[k:j], dtype="Int64")

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,7 +73,7 @@ def test_encode_then_decode(spark):
 def test_blocks_round_trip(values, low):
     stream = np.array([v if v % 7 == 0 else low + v % 50 for v in values], np.int64)
     blocks = tokenfile.pack(stream)
-    got = [tokenfile.unpack(b, min(tokenfile.BLOCK, len(stream) - k * tokenfile.BLOCK)) for k, b in enumerate(blocks)]
+    got = tokenfile.unpack(blocks, [min(tokenfile.BLOCK, len(stream) - k * tokenfile.BLOCK) for k in range(len(blocks))])
     assert np.array_equal(np.concatenate(got) if got else np.empty(0), stream)
 
 
@@ -96,3 +97,32 @@ def test_files_hold_all_documents_in_order(spark, tmp_path, shards):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digest(none).count() == tokenfile.digest(none).count() == 0
+
+
+def test_packed_values_come_back():
+    rng = np.random.default_rng(3)
+    for w in range(0, 33):
+        for n in (1, 7, 8, 9, 1024):
+            v = rng.integers(0, 1 << w, (3, n))
+            bodies = tokenfile.lay(v, w)
+            assert bodies.shape == (3, (n * w + 7) // 8)
+            assert (tokenfile.lift(bodies, n, w) == v).all()
+            whole = [sum(int(x) << (w * k) for k, x in enumerate(row)) for row in v]
+            assert [int.from_bytes(b.tobytes(), "little") for b in bodies] == whole
+
+
+def test_a_task_that_runs_twice_changes_nothing(tmp_path):
+    rows = pd.DataFrame({"doc_id": pd.array([1, None], "Int64"), "ids": [np.array([5, 2], "<u2").tobytes()] * 2, "wide": False, "shard": 0})
+    first, second = (pd.concat(tokenfile._store(iter([rows]), f"file://{tmp_path}")).iloc[0] for _ in range(2))
+    assert first.file != second.file and tuple(first[:3]) == tuple(second[:3]) == (0, 2, 4)
+    assert [x.tolist() for _, _, ids in tokenfile.Reader(f"file://{tmp_path}/{first.file}").documents() for x in ids] == [[5, 2], [5, 2]]
+
+
+def test_a_doc_id_of_many_rows_fills_several_shards(spark, tmp_path):
+    texts = [f"text {k % 40}" for k in range(300)]
+    d = spark.createDataFrame([(7 if k % 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    manifest = tokenfile.write(d, f"file://{tmp_path}", shards=8)
+    assert max(m[1] for m in manifest) < 150
+    got = sorted(tokenfile.read(spark, f"file://{tmp_path}", manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(7 if k % 3 else k for k in range(300))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
