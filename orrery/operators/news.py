@@ -165,11 +165,18 @@ def tokens(text: Column) -> Column:
 
 def language(words: Column) -> tuple[Column, Column]:
     """Language and confidence by the share of marker words; "en" with 0.4 below a share of 0.02, 0.3 without words."""
-    n = F.size(words)
-    shares = {k: F.size(_marked(words, marks)) / F.greatest(n, F.lit(1)) for k, marks in LANGUAGES.items()}
-    best = F.greatest(*shares.values())
-    found = F.coalesce(*[F.when(s == best, F.lit(k)) for k, s in shares.items()])
-    return F.when((n == 0) | (best < 0.02), "en").otherwise(found), F.when(n == 0, 0.3).when(best < 0.02, 0.4).otherwise(F.least(best * 5, F.lit(0.85)))
+    # Bound once: the shares of all languages, then the best of them.
+    shares = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), *[(F.size(_marked(w, marks)) / F.greatest(F.size(w), F.lit(1))).alias(k) for k, marks in LANGUAGES.items()]))
+    best = F.transform(shares, lambda r: F.struct(r.alias("r"), F.greatest(*[r[k] for k in LANGUAGES]).alias("best")))
+
+    def verdict(r: Column) -> Column:
+        n, top = r["r"]["n"], r["best"]
+        found = F.coalesce(*[F.when(r["r"][k] == top, F.lit(k)) for k in LANGUAGES])
+        name = F.when((n == 0) | (top < 0.02), "en").otherwise(found)
+        return F.struct(name.alias("language"), F.when(n == 0, 0.3).when(top < 0.02, 0.4).otherwise(F.least(top * 5, F.lit(0.85))).alias("confidence"))
+
+    out = F.transform(best, verdict)[0]
+    return out["language"], out["confidence"]
 
 
 def _marked(words: Column, marks: list[str]) -> Column:

@@ -14,10 +14,34 @@ def ladder(value: Column, steps: list[tuple[float, float]], other: float) -> Col
     return out.otherwise(F.lit(other))
 
 
-def credibility(source: Column, has_author: Column, transparency: Column, tiers: dict[str, float]) -> Column:
-    """.55 source tier (0.5 if unknown) + .25 author (0.3 if missing) + .20 transparency, rounded to 3."""
-    tier = F.coalesce(*[F.when(source == k, F.lit(x)) for k, x in tiers.items()], F.lit(0.5))
-    return F.round(0.55 * tier + 0.25 * F.when(has_author, 0.8).otherwise(0.3) + 0.2 * transparency, 3)
+#: Words of bylines and of disclosed methods, and what each adds.
+BYLINES = [(["staff", "reporter", "correspondent", "journalist"], 0.2), (["finance", "markets", "investing", "equity", "analyst"], 0.2), (["senior", "lead", "chief", "editor"], 0.1)]
+METHODS = ["methodology", "how we calculated", "data source:", "source:"]
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return F.coalesce(text.rlike("|".join(words)), F.lit(False))
+
+
+def credibility(source: Column, author: Column, content: Column, sources: dict[str, tuple[int, float, int]], sponsored: Column | None = None, corrections: Column | None = None) -> Column:
+    """.40 tier + .20 reliability + .15 author + .15 publication age + .10 transparency, rounded to 3.
+
+    sources: (tier 1 to 4, reliability, age in years); a source without an entry scores 0.4, 0.5 and age 0.
+    """
+    by = lambda scores, other: F.coalesce(*[F.when(source == k, F.lit(x)) for k, x in scores.items()], F.lit(other))
+    tier = by({k: {1: 1.0, 2: 0.8, 3: 0.7, 4: 0.5}[t] for k, (t, _, _) in sources.items()}, 0.4)
+    age = ladder(by({k: float(a) for k, (_, _, a) in sources.items()}, 0.0), [(100, 1.0), (50, 0.9), (25, 0.8), (10, 0.7), (5, 0.6)], 0.5)
+    name = F.lower(author)
+    byline = F.lit(0.5)
+    for words, more in BYLINES:
+        byline = byline + F.when(_any(name, words), more).otherwise(0.0)
+    byline = F.when(author.isNull() | (author == ""), 0.3).otherwise(F.least(byline, F.lit(1.0)))
+    clear = 0.5 + by({k: {1: 0.3, 2: 0.2}.get(t, 0.0) for k, (t, _, _) in sources.items()}, 0.0) + F.when(_any(F.lower(content), METHODS), 0.1).otherwise(0.0)
+    for flag in (None if sponsored is None else ~sponsored, corrections):
+        if flag is not None:
+            clear = clear + F.when(flag, 0.1).otherwise(0.0)
+    reliability = by({k: r for k, (_, r, _) in sources.items()}, 0.5)
+    return F.round(0.40 * tier + 0.20 * reliability + 0.15 * byline + 0.15 * age + 0.10 * F.least(clear, F.lit(1.0)), 3)
 
 
 def importance(length: Column, n_entities: Column, n_events: Column) -> Column:

@@ -18,7 +18,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EDGES = """edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier
- UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || (l_partkey % 50), 'SUPPLIES' FROM lineitem WHERE l_suppkey % 20 = 0), und AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges))"""
+ UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'SUPPLIES' FROM lineitem), und AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges))"""
 
 
 @query(f"WITH {EDGES}, d AS (SELECT src AS id, count(*) AS degree FROM und GROUP BY 1) SELECT id, degree, round(degree / (SELECT max(degree) FROM d)::DOUBLE, 6) AS centrality FROM d")
@@ -38,7 +38,7 @@ def pagerank(spark, sf):
     return v.rounded(graph.pagerank(edges(spark, sf), rounds=_N), 9)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, few AS (SELECT src, dst FROM und WHERE (src LIKE 'n%' OR src LIKE 'r%') AND (dst LIKE 'n%' OR dst LIKE 'r%')), w AS (SELECT src AS id, src AS seen FROM few UNION SELECT w.id, few.dst FROM w JOIN few ON few.src = w.seen) SELECT id, min(seen) AS component FROM w GROUP BY 1""")
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS id, src AS seen FROM und UNION SELECT w.id, und.dst FROM w JOIN und ON und.src = w.seen) SELECT id, min(seen) AS component FROM w GROUP BY 1""")
 def connected_components(spark, sf):
     return graph.components(edges(spark, sf))
 
@@ -60,7 +60,7 @@ def shortest_paths(spark, sf):
     return graph.shortest_paths(e, pairs, 3)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS a, [src, dst] AS path FROM edges WHERE src IN ('s20', 's40', 's60') UNION ALL SELECT w.a, list_append(path, e.dst) FROM w JOIN edges e ON e.src = path[-1] WHERE len(path) < 4 AND NOT list_contains(path, e.dst)) SELECT DISTINCT a, path[-1] AS b, array_to_string(path, '>') AS path FROM w WHERE path[-1] LIKE 'r%'""")
+@query(f"""WITH RECURSIVE {EDGES}, w AS (SELECT DISTINCT src AS a, [src, dst] AS path FROM edges WHERE src LIKE 's%' UNION ALL SELECT w.a, list_append(path, e.dst) FROM w JOIN edges e ON e.src = path[-1] WHERE len(path) < 4 AND NOT list_contains(path, e.dst)) SELECT DISTINCT a, path[-1] AS b, array_to_string(path, '>') AS path FROM w WHERE path[-1] LIKE 'r%'""")
 def all_simple_paths(spark, sf):
     e = edges(spark, sf)
     pairs = e.where("src like 's%'").select(F.col("src").alias("a")).distinct().crossJoin(e.where("dst like 'r%'").select(F.col("dst").alias("b")).distinct())

@@ -38,7 +38,7 @@ def ema_macd(spark, sf):
     return v.rounded(ind.technical(v.bars(spark, sf)).select("symbol", "day", "ema_12", "ema_26", "macd"), 2)
 
 
-@query(f"""WITH RECURSIVE {v.BARS}, k AS MATERIALIZED (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM bars WHERE day >= DATE '2001-06-01'),
+@query(f"""WITH RECURSIVE {v.BARS}, k AS MATERIALIZED (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM bars),
 e AS (SELECT symbol, day, n, close AS ema FROM k WHERE n = 1 UNION ALL SELECT k.symbol, k.day, k.n, 2e0 / 21 * k.close + (1 - 2e0 / 21) * e.ema FROM e JOIN k ON k.symbol = e.symbol AND k.n = e.n + 1)
 SELECT symbol, CAST(day AS VARCHAR) AS day, round(ema, 4) AS ema FROM e""")
 def ema_full(spark, sf):

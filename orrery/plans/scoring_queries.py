@@ -9,19 +9,23 @@ from orrery.plans import views as v
 from orrery.plans.news_queries import articles
 from orrery.plans.registry import query
 
-TIERS = {"src0": 1.0, "src1": 0.9, "src2": 0.7}
+SOURCES = {"src0": (1, 0.95, 120), "src1": (2, 0.85, 30), "src2": (3, 0.7, 12), "src3": (4, 0.6, 3)}
+AUTHOR = "CASE doc_id % 4 WHEN 1 THEN 'Staff Reporter' WHEN 2 THEN 'Chief Equity Analyst' WHEN 3 THEN 'J. Doe' END"
 
 
-@query("""SELECT doc_id AS article_id, round(0.55e0 * CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 0.9e0 WHEN 'src2' THEN 0.7e0 ELSE 0.5e0 END + 0.25e0 * CASE WHEN doc_id % 2 = 0 THEN 0.8e0 ELSE 0.3e0 END + 0.2e0 * (doc_id % 5) / 5e0, 3) AS credibility,
+@query(f"""WITH d AS (SELECT *, {AUTHOR} AS author FROM documents) SELECT doc_id AS article_id, round(0.4e0 * CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 0.8e0 WHEN 'src2' THEN 0.7e0 WHEN 'src3' THEN 0.5e0 ELSE 0.4e0 END
+ + 0.2e0 * CASE source WHEN 'src0' THEN 0.95e0 WHEN 'src1' THEN 0.85e0 WHEN 'src2' THEN 0.7e0 WHEN 'src3' THEN 0.6e0 ELSE 0.5e0 END + 0.15e0 * CASE doc_id % 4 WHEN 0 THEN 0.3e0 WHEN 1 THEN 0.7e0 WHEN 2 THEN 0.8e0 ELSE 0.5e0 END
+ + 0.15e0 * CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 0.8e0 WHEN 'src2' THEN 0.7e0 ELSE 0.5e0 END
+ + 0.1e0 * least(1, 0.5e0 + CASE source WHEN 'src0' THEN 0.3e0 WHEN 'src1' THEN 0.2e0 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'methodology|how we calculated|data source:|source:') THEN 0.1e0 ELSE 0 END), 3) AS credibility,
  round(least(1, CASE WHEN n_chars >= 2000 THEN 0.3e0 WHEN n_chars >= 1000 THEN 0.2e0 WHEN n_chars >= 300 THEN 0.1e0 ELSE 0 END + least(0.05e0 * (doc_id % 9), 0.3e0) + least(0.1e0 * (doc_id % 3), 0.2e0)), 6) AS importance,
- round(least(1, 0.4e0 + 0.2e0 * abs((doc_id % 21 - 10) / 10e0) + CASE WHEN doc_id % 4 = 0 THEN 0.15e0 ELSE 0 END + CASE WHEN doc_id % 3 > 0 THEN 0.1e0 ELSE 0 END), 6) AS impact FROM documents""")
+ round(least(1, 0.4e0 + 0.2e0 * abs((doc_id % 21 - 10) / 10e0) + CASE WHEN doc_id % 4 = 0 THEN 0.15e0 ELSE 0 END + CASE WHEN doc_id % 3 > 0 THEN 0.1e0 ELSE 0 END), 6) AS impact FROM d""")
 def article_scores(spark, sf):
     d = v.table(spark, sf, "documents")
     i = F.col("doc_id")
-    return v.rounded(d.select(i.alias("article_id"), scoring.credibility(F.col("source"), i % 2 == 0, (i % 5) / 5.0, TIERS).alias("credibility"), scoring.importance(F.col("n_chars"), i % 9, i % 3).alias("importance"), scoring.market_impact(F.lit(0.4), (i % 21 - 10) / 10.0, i % 4 == 0, i % 3).alias("impact")))
+    return v.rounded(d.select(i.alias("article_id"), scoring.credibility(F.col("source"), F.expr(AUTHOR), F.col("text"), SOURCES).alias("credibility"), scoring.importance(F.col("n_chars"), i % 9, i % 3).alias("importance"), scoring.market_impact(F.lit(0.4), (i % 21 - 10) / 10.0, i % 4 == 0, i % 3).alias("impact")))
 
 
-@query("""WITH s AS (SELECT event_type, avg(value / 500) AS m, count(*) AS n FROM events WHERE user_id % 10 = 3 GROUP BY 1) SELECT event_type, round(greatest(0.01, least(0.99, 0.1e0 + 0.9e0 * m * 0.5e0)), 6) AS probability, round(0.3e0 + 0.4e0 * m + 0.3e0 * least(1, n / 5e0), 6) AS confidence FROM s""")
+@query("""WITH s AS (SELECT event_type, avg(value / 500) AS m, count(*) AS n FROM events GROUP BY 1) SELECT event_type, round(greatest(0.01, least(0.99, 0.1e0 + 0.9e0 * m * 0.5e0)), 6) AS probability, round(0.3e0 + 0.4e0 * m + 0.3e0 * least(1, n / 5e0), 6) AS confidence FROM s""")
 def event_probability(spark, sf):
     s = v.table(spark, sf, "events").groupBy("event_type").agg(F.avg(F.col("value") / 500).alias("m"), F.count(F.lit(1)).alias("n"))
     p, c = scoring.event_probability(F.lit(0.1), F.col("m"), F.col("n"))
