@@ -150,3 +150,65 @@ def levels(edges: DataFrame, most: int = 50) -> DataFrame:
 
 def top(ranked: DataFrame, by: str, score: str, k: int) -> DataFrame:
     return ranked.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "id"))).where(F.col("position") <= k)
+
+
+def eigenvector(edges: DataFrame, rounds: int = 30, every: int = 5) -> DataFrame:
+    """(id, score): power iteration of the undirected adjacency plus identity (so bipartite graphs settle), largest score one."""
+    both = _cut(undirected(edges))
+    scores = both.select(F.col("src").alias("id")).distinct().withColumn("score", F.lit(1.0))
+    for k in range(rounds):
+        got = both.join(scores, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("to")).agg(F.sum("score").alias("got"))
+        d = scores.join(got, F.col("id") == F.col("to")).select("id", (F.col("score") + F.col("got")).alias("score"))
+        most = d.agg(F.max("score").alias("most"))
+        scores = d.join(F.broadcast(most)).select("id", (F.col("score") / F.col("most")).alias("score"))
+        if k % every == every - 1:
+            scores = _cut(scores)
+    return scores
+
+
+def betweenness(edges: DataFrame, samples: int | None = 100, exact_below: int = 500, most: int = 64) -> DataFrame:
+    """(id, betweenness): share of shortest paths through each node, undirected, over (n - 1)(n - 2).
+
+    From all nodes where there are fewer than `exact_below` or `samples` is None, else from that many nodes (those of
+    least hash), scaled up. One join per level of a breadth-first search from all sources together, forth with path
+    counts and back with dependencies; levels are written as they end. Paths over `most` edges raise an error.
+    """
+    both = _cut(undirected(edges))
+    nodes = _cut(both.select(F.col("src").alias("id")).distinct())
+    n = nodes.count()
+    sources = nodes if samples is None or n < exact_below else nodes.orderBy(F.xxhash64("id"), "id").limit(samples)
+    k = n if samples is None or n < exact_below else min(samples, n)
+    levels = [_cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))]
+    # A neighbour of a level lies in it, in the one before, or is new.
+    while True:
+        reached = levels[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for done in levels[-2:]:
+            reached = reached.join(done.select("source", "node"), ["source", "node"], "left_anti")
+        now = _cut(reached)
+        if not now.limit(1).count():
+            break
+        if len(levels) > most:
+            raise ValueError(f"paths of more than {most} edges")
+        levels.append(now)
+    below, parts = None, []
+    for d in reversed(levels[1:]):
+        got = d.withColumn("dependency", F.lit(0.0)) if below is None else d.join(below, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("dependency", F.lit(0.0)).alias("dependency"))
+        got = _cut(got)
+        parts.append(got.select("node", "dependency"))
+        before = levels[len(levels) - 1 - len(parts)]
+        share = got.select("source", F.col("node").alias("child"), ((1 + F.col("dependency")) / F.col("paths")).alias("share"))
+        up = share.join(both, F.col("child") == F.col("src")).select("source", F.col("dst").alias("node"), "share")
+        below = up.join(before, ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("share") * F.col("paths")).alias("dependency"))
+    scale = n / k / max(1, (n - 1) * (n - 2))
+    total = nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("dependency"))
+    for p in parts:
+        total = total.unionByName(p)
+    return total.groupBy(F.col("node").alias("id")).agg((F.sum("dependency") * scale).alias("betweenness"))
+
+
+def blended_centrality(edges: DataFrame, samples: int | None = 100) -> DataFrame:
+    """(id, centrality): 0.3 of degree over n - 1, 0.3 of betweenness, 0.4 of PageRank."""
+    degree = undirected(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    n = degree.agg(F.count(F.lit(1)).alias("n"))
+    d = degree.join(betweenness(edges, samples), "id").join(pagerank(edges), "id").join(F.broadcast(n))
+    return d.select("id", (0.3 * F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1)) + 0.3 * F.col("betweenness") + 0.4 * F.col("rank")).alias("centrality"))

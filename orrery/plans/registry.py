@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable:
 def load() -> None:
     from importlib import import_module
 
-    for name in ("risk", "indicators", "news", "graphs", "retrieval", "store", "alerting", "portfolios", "events", "scoring", "lookup"):
+    for name in ("risk", "indicators", "news", "graphs", "retrieval", "store", "alerting", "portfolios", "events", "scoring", "lookup", "outlook"):
         import_module(f"orrery.plans.{name}_queries")
 
 
