@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, licenses, linededup, neardup, quality, rules, secrets, tokenfile, urls
+from orrery.llm import bpe, decontam, gridjoin, licenses, linededup, neardup, periods, phrases, quality, rules, secrets, tokenfile, urls
 from orrery.llm.common import table
 
 
@@ -48,5 +48,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op7_near_duplicates, op8_quality, op9_token_files, op10_line_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op7_near_duplicates, op8_quality, op9_token_files, op10_line_dedup, op11_periodic_runs, op12_collocations, op13_near_vectors)}
 ORACLE = {"op3_quality_rules": rules.SQL, "op4_licenses": licenses.sql(), "op5_url_filter": urls.SQL}
