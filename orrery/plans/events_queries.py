@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orrery.plans import views as v
 from orrery.plans.registry import query
 from orrery.streaming import events as ev
+from orrery.streaming import state
 
 
 def _events(spark, sf):
@@ -66,3 +67,16 @@ def as_of_join(spark, sf):
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def json_payloads(spark, sf):
     return _events(spark, sf).groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS k FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 5 DAY) WHERE k <= 20")
+def live_history(spark, sf):
+    """What stream state with a time to live of five days and a cap of twenty events a user holds after the last watermark."""
+    return state.recent(_events(spark, sf), "user_id", 5 * 86400, 20)
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, ts, user_id || '|' || event_type AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events), w AS (SELECT event_id, k, i, ts, ts AS kept FROM e WHERE i = 1
+ UNION ALL SELECT e.event_id, e.k, e.i, e.ts, CASE WHEN e.ts >= w.kept + INTERVAL 1 DAY THEN e.ts ELSE w.kept END FROM w JOIN e ON e.k = w.k AND e.i = w.i + 1) SELECT event_id FROM w WHERE ts = kept""")
+def first_seen_events(spark, sf):
+    """The events that repeat no user and type let through within a day."""
+    return state.first_seen(_events(spark, sf), ["user_id", "event_type"], 86400).select("event_id")
