@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.graph import cut
+
 
 def tagged(df: DataFrame, tags: str, tag: str) -> DataFrame:
     """Rows whose array of tags holds the tag."""
@@ -123,17 +125,18 @@ def state_frequency(paths: DataFrame, states: str) -> DataFrame:
     return g.join(F.broadcast(total)).select("state", "n", (F.col("n") / F.col("total")).alias("share"))  # one row of totals
 
 
-def hierarchy(links: DataFrame, most: int = 20) -> DataFrame:
+def hierarchy(links: DataFrame) -> DataFrame:
     """(child, ancestor, depth) up the links (child, parent), level after level, each ancestor at its least depth."""
-    level = links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = level
+    level = cut(links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    out, depth = level, 1
     up = links.select(F.col("child").alias("ancestor"), "parent")
-    for depth in range(2, most + 1):
+    while not level.isEmpty():
+        depth += 1
         level = level.join(up, "ancestor").select("child", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-        level = level.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").distinct()
-        if level.isEmpty():
-            break
+        level = cut(level.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").distinct())
         out = out.unionByName(level)
+        if depth % 20 == 0:
+            out = cut(out)
     return out
 
 

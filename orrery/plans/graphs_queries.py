@@ -73,10 +73,43 @@ def typed_neighbours(spark, sf):
     return graph.neighbours(edges(spark, sf), nodes)
 
 
-@query(f"""WITH {EDGES}, d AS (SELECT src, count(*) AS n FROM und GROUP BY 1), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common, sum(1 / ln(d.n)) AS aa FROM und x JOIN und y ON x.dst = y.dst AND x.src < y.src JOIN d ON d.src = x.dst GROUP BY 1, 2)
-SELECT a, b, common, round(common / (da.n + db.n - common)::DOUBLE, 6) AS jaccard, round(aa, 6) AS adamic_adar FROM c JOIN d da ON da.src = a JOIN d db ON db.src = b""")
+@query(f"""WITH {EDGES}, d AS (SELECT src, count(*) AS n FROM und GROUP BY 1), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common, sum(1 / ln(d.n)) AS aa FROM und x JOIN und y ON x.dst = y.dst AND x.src <> y.src JOIN d ON d.src = x.dst WHERE d.n > 1 GROUP BY 1, 2),
+j AS (SELECT a, b, common, common / (da.n + db.n - common)::DOUBLE AS jaccard, aa FROM c JOIN d da ON da.src = a JOIN d db ON db.src = b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(jaccard, 9) DESC, b) AS position FROM j WHERE jaccard >= 0.4)
+SELECT a, b, common, round(jaccard, 6) AS jaccard, round(aa, 6) AS adamic_adar, CAST(position AS INT) AS position FROM r WHERE position <= 10""")
 def node_similarity(spark, sf):
-    return v.rounded(graph.similarity(edges(spark, sf)))
+    return v.rounded(graph.similarity(edges(spark, sf), 0.4))
+
+
+_TRI = EDGES.replace("UNION ALL SELECT DISTINCT 's'", "UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 'NEAR' FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT DISTINCT 's'")
+
+
+@query(f"""WITH {_TRI}, d AS (SELECT src, count(*) AS n FROM und GROUP BY 1), t AS (SELECT e.src AS id, e.dst AS neighbour, count(*) AS shared FROM und e JOIN und x ON x.src = e.src JOIN und y ON y.src = e.dst AND y.dst = x.dst GROUP BY 1, 2),
+r AS (SELECT id, neighbour, shared, shared / d.n::DOUBLE AS similarity, row_number() OVER (PARTITION BY id ORDER BY shared / d.n::DOUBLE DESC, neighbour) AS position FROM t JOIN d ON d.src = neighbour WHERE shared / d.n::DOUBLE >= 0.7) SELECT id, neighbour, shared, round(similarity, 6) AS similarity, CAST(position AS INT) AS position FROM r WHERE position <= 10""")
+def shared_neighbours(spark, sf):
+    near = v.table(spark, sf, "supplier").join(v.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    near = near.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit("NEAR").alias("kind"))
+    return v.rounded(graph.shared_neighbours(edges(spark, sf).unionByName(near)))
+
+
+# Nations and the months their customers order in, weighted by the number of orders.
+def _weights(spark, sf):
+    o = v.table(spark, sf, "orders").join(v.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyy-MM")).alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+# Rounds of moves are beyond SQL; tests hold it against label propagation and all partitions of small graphs.
+@query()
+def louvain_communities(spark, sf):
+    return graph.louvain(_weights(spark, sf))
+
+
+@query("""WITH w AS (SELECT 'n' || c_nationkey AS src, 'm' || strftime(o_orderdate, '%Y-%m') AS dst, count(*) AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w), l AS (SELECT DISTINCT src AS id, CASE WHEN src LIKE 'n%' THEN CAST(substr(src, 2) AS INT) % 5 ELSE CAST(substr(src, 7) AS INT) % 5 END AS label FROM b),
+c AS (SELECT x.label, sum(w) AS tot, sum(w) FILTER (x.label = y.label) AS inside FROM b JOIN l x ON x.id = src JOIN l y ON y.id = dst GROUP BY 1), m AS (SELECT sum(w) AS m2 FROM b) SELECT round(sum(coalesce(inside, 0) / m2::DOUBLE - pow(tot / m2::DOUBLE, 2)), 9) AS modularity FROM c, m""")
+def partition_modularity(spark, sf):
+    w = _weights(spark, sf)
+    ids = w.select(F.col("src").alias("id")).union(w.select("dst")).distinct()
+    number = F.when(F.col("id").startswith("n"), F.substring("id", 2, 9)).otherwise(F.substring("id", 7, 9)).cast("int")
+    return v.rounded(graph.modularity(w, ids.withColumn("label", number % 5)), 9)
 
 
 @query(f"WITH {EDGES}, s AS (SELECT count(DISTINCT src) AS n, CAST(count(*) / 2 AS BIGINT) AS e FROM und) SELECT n AS nodes, e AS edges, round(2.0 * e / (n * (n - 1.0)), 9) AS density, round(2.0 * e / n, 9) AS average_degree FROM s")

@@ -150,4 +150,4 @@ def eigenvector_centrality(spark, sf):
 
 @query()
 def blended_centrality(spark, sf):
-    return v.rounded(graph.blended_centrality(edges(spark, sf)), 9)
+    return v.rounded(graph.blended_centrality(edges(spark, sf), samples=100), 9)

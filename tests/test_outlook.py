@@ -59,7 +59,7 @@ def test_betweenness_equals_brute_force(spark):
     want = _betweenness(edges, sorted({v for e in edges for v in e}))
     got = {r[0]: r[1] for r in graph.betweenness(df).collect()}
     assert got == pytest.approx(want)
-    few = {r[0]: r[1] for r in graph.betweenness(df, samples=8, exact_below=0).collect()}
+    few = {r[0]: r[1] for r in graph.betweenness(df, samples=8).collect()}
     assert few == pytest.approx(want)
     blend = {r[0]: r[1] for r in graph.blended_centrality(df).collect()}
     rank = {r[0]: r[1] for r in graph.pagerank(df).collect()}
