@@ -80,7 +80,7 @@ def _gridded(batches: Iterator[pd.DataFrame], axes: dict[int, np.ndarray], eps:
             yield part.drop(columns="v").assign(cells=list(cells), unit=[r.tobytes() for r in x])
 
 
-def _cut(batches: Iterator[pd.DataFrame], part: int, axes: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pd.DataFrame], part: int, axes: dict[int, np.ndarray], block: int) -> Iterator[pd.DataFrame]:
     """Blocks of a sorted partition: consecutive vectors of one label and length."""
     n, held = 0, None
     for b in batches:
@@ -88,10 +88,10 @@ def _cut(batches: Iterator[pd.DataFrame], part: int, axes: dict[int, np.ndarray]
         while len(held):
             same = (held["label"] == held["label"].iloc[0]) & (held["dim"] == held["dim"].iloc[0])
             run = len(held) if same.all() else int(np.argmin(same.to_numpy()))
-            if run == len(held) and run < BLOCK:
+            if run == len(held) and run < block:
                 break
-            yield _block(held[:BLOCK] if run >= BLOCK else held[:run], part, n, axes)
-            held, n = held[min(run, BLOCK) :], n + 1
+            yield _block(held[: min(run, block)], part, n, axes)
+            held, n = held[min(run, block) :], n + 1
     if held is not None and len(held):
         yield _block(held, part, n, axes)
 
@@ -222,7 +222,8 @@ def _blocks(stage: Staging, grid: DataFrame, axes: dict[int, np.ndarray]) -> Dat
 
     order = ["label", "dim", "cells", "c1", "c2"]
     kind = "label string, dim int, part int, k int, lo array<double>, hi array<double>, mean array<double>, radius double, size long, c1 array<long>, c2 array<long>, n array<long>, first array<long>, units binary"
-    cut = grid.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(lambda b: _cut(b, TaskContext.get().partitionId(), axes), kind)
+    size = BLOCK  # read here, not by the workers
+    cut = grid.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(lambda b: _cut(b, TaskContext.get().partitionId(), axes, size), kind)
     blocks = stage.keep(cut)
     most = blocks.agg(F.max("k")).first()[0] or 0
     bits = -(-most.bit_length() // FAN) * FAN

@@ -52,18 +52,18 @@ def pieces(docs: DataFrame) -> DataFrame:
     return clean.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
 
 
-def places_of(words: list[bytes], langs: np.ndarray, k: int) -> np.ndarray:
-    """The bits of the k words from each place on, within their language."""
+def places_of(words: list[bytes], langs: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The bits, in a table of 2^size, of the k words from each place on, within their language."""
     crc = np.fromiter(map(crc32, words), np.uint64, len(words))
     h = langs.astype(np.uint64) + np.uint64(k)
     for j in range(k):
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         h[: len(words) - j] += crc[j:]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - TABLE)).astype(np.int64)
+    return (h >> np.uint64(64 - size)).astype(np.int64)
 
 
-def _grams(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
     """Sums (lang, phrase, w) of the phrases of k words; table: bits of the frequent phrases of k - 1 words."""
     held: dict[str, Counter] = {}
     for batch in batches:
@@ -80,7 +80,7 @@ def _grams(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray | None)
         fit = at + k <= np.cumsum(sizes)[piece]
         if table is not None:
             salts = np.array([crc32(n.encode()) for n in names], np.uint64)[code]
-            bit = places_of(words, salts[piece], k - 1)
+            bit = places_of(words, salts[piece], k - 1, len(table).bit_length() + 2)
             often = (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             fit &= often & np.append(often[1:], False)
         for lang in range(len(names)):
@@ -93,7 +93,7 @@ def _grams(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray | None)
             else:
                 for p, w in zip(phrases, weights.tolist()):
                     sums[p] += w
-        if sum(map(len, held.values())) > HELD:
+        if sum(map(len, held.values())) > most:
             yield from _shipped(held)
             held = {}
     yield from _shipped(held)
@@ -106,7 +106,7 @@ def _shipped(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array([sums[p] for p in part], pa.int64())], names=["lang", "phrase", "w"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], k: int, least: int, size: int) -> Iterator[pa.RecordBatch]:
     """A bucket's sums of at least that size, by duckdb; each with its bit for the next length."""
     import duckdb
 
@@ -127,7 +127,7 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[
             phrases = b.column("phrase").to_pylist()
             salts = np.array([crc32(n.encode()) for n in b.column("lang").to_pylist()], np.uint64)
             words = b" ".join(phrases).split(b" ")
-            bits = places_of(words, np.repeat(salts, k), k)[::k]
+            bits = places_of(words, np.repeat(salts, k), k, size)[::k]
             yield pa.record_batch([b.column("lang"), b.column("phrase"), b.column("f"), pa.array(bits)], names=["lang", "phrase", "f", "bit"])
 
 
@@ -143,11 +143,12 @@ def _table(counts: DataFrame) -> np.ndarray:
 def frequent(stage: Staging, distinct: DataFrame, least: int = FREQUENT, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, f, k): all phrases of up to `longest` words that occur `least` times."""
     spark, table, out = distinct.sparkSession, None, None
+    size, most = TABLE, HELD
     source = distinct.select("lang", F.col("piece").cast("binary").alias("piece"), "m")
     for k in range(1, longest + 1):
         shared = spark.sparkContext.broadcast(table)
-        sums = source.mapInArrow(lambda b, k=k, t=shared: _grams(b, k, t.value), "lang string, phrase binary, w long")
-        counts = sums.repartition("lang", "phrase").mapInArrow(lambda b, k=k: _counted(b, k, least), f"{COUNTS}, bit long")
+        sums = source.mapInArrow(lambda b, k=k, t=shared: _grams(b, k, t.value, most), "lang string, phrase binary, w long")
+        counts = sums.repartition("lang", "phrase").mapInArrow(lambda b, k=k: _counted(b, k, least, size), f"{COUNTS}, bit long")
         counts = stage.keep(counts)
         part = counts.select("lang", F.col("phrase").cast("string").alias("phrase"), "f", F.lit(k).alias("k"))
         out = part if out is None else out.unionByName(part)
