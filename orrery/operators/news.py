@@ -97,51 +97,119 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def text_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The same, null where a bound on it (lengths, then common characters) is below `least`."""
+    out = []
+    for x, y, r in zip(a, b, least):
+        m = difflib.SequenceMatcher(None, x, y)
+        out.append(m.ratio() if m.real_quick_ratio() >= r and m.quick_ratio() >= r else None)
+    return pd.Series(out, dtype="float64")
+
+
 # Dedup.
 
 
-def dedup(articles: DataFrame) -> DataFrame:
-    """Adds duplicate_of and reason: the first article (by id) with the same text hash, then url, then a similar title, then fingerprint.
+def fingerprint_text(summary: Column, content: Column) -> Column:
+    """The first 300 and 500 characters, lower case, letters, digits and single spaces only."""
+    text = F.lower(F.concat_ws(" ", F.substring(summary, 1, 300), F.substring(content, 1, 500)))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9\\s]", ""), "\\s+", " "))
+
 
-    First rule wins; each rule is one grouped minimum, joined back by its key.
+def dedup(articles: DataFrame, title_least: float = 0.8, content_least: float = 0.5) -> DataFrame:
+    """Adds duplicate_of and reason: the first article (by id) with the same text hash, then url, then a similar title, then similar content.
+
+    First rule wins. Each rule is a least id per key, joined back by the key; the similar ones work on distinct texts, so
+    copies cost nothing however many they are. Contents of fewer than 10 characters are never compared.
     """
-    d = articles.withColumns({"k_exact": F.sha2(F.coalesce("content", F.lit("")), 256), "k_url": canonical_url(F.col("url")), "k_title": F.col("article_id"), "k_print": fingerprint(F.col("summary"), F.col("content"))})
-    for key in ("k_exact", "k_url", "k_title", "k_print"):
-        first = similar_titles(articles).groupBy(F.col("b").alias(key)).agg(F.min("a").alias(f"first_{key}")) if key == "k_title" else d.groupBy(key).agg(F.min("article_id").alias(f"first_{key}"))
-        d = d.join(first, key, "left")
-    tests = [("k_exact", "exact_content_hash"), ("k_url", "canonical_url"), ("k_title", "title_similarity"), ("k_print", "content_fingerprint")]
+    content = fingerprint_text(F.col("summary"), F.col("content"))
+    d = articles.withColumns({"k_exact": F.sha2(F.coalesce("content", F.lit("")), 256), "k_url": canonical_url(F.col("url")), "k_title": clean_title(F.col("title")), "k_content": F.when(F.length(content) >= 10, content)})
+    for key in ("k_exact", "k_url"):
+        d = d.join(d.groupBy(key).agg(F.min("article_id").alias(f"first_{key}")), key, "left")
+    for key, least in (("k_title", title_least), ("k_content", content_least)):
+        links = similar_texts(d.where(F.col(key) != "").select("article_id", F.col(key).alias("t")), least)
+        # The article before this one that comes first among those with a similar text.
+        first = d.join(links.select(F.col("tb").alias(key), F.col("first").alias("_first")), key).where("_first < article_id").groupBy("article_id").agg(F.min("_first").alias(f"first_{key}"))
+        d = d.join(first, "article_id", "left")
+    tests = [("k_exact", "exact_content_hash"), ("k_url", "canonical_url"), ("k_title", "title_similarity"), ("k_content", "content_fingerprint")]
     reason = F.coalesce(*[F.when(F.col(f"first_{k}") < F.col("article_id"), F.lit(r)) for k, r in tests])
     of = F.coalesce(*[F.when(F.col(f"first_{k}") < F.col("article_id"), F.col(f"first_{k}")) for k, _ in tests])
     return d.withColumn("reason", reason).withColumn("duplicate_of", of).drop(*[c for k, _ in tests for c in (k, f"first_{k}")])
 
 
+#: Texts up to this length are paired by characters, longer ones by words; words in more texts than HOT join only with a second one.
+SHORT, HOT = 24, 1000
+
+
+def text_keys(d: DataFrame, least: float) -> DataFrame:
+    """(t, n, key): texts that may have that ratio share a key. d: distinct texts t.
+
+    A ratio r means M >= r T / 2 matched characters of T. Where the shorter text has at most SHORT characters this is exact: M
+    numbered characters are common, so three (or two, of the shortest texts) are among the rarest n - ceil(M) + 3 of
+    either, and all triples of these are keys. Longer texts meet under one of the rarest half of their distinct words (a third
+    for ratios under 0.8); a word of more than HOT texts joins only together with another one of the text. That a similar
+    pair of long texts has no such word in common isn't ruled out; recall is measured in the tests.
+    """
+    d = d.withColumn("n", F.length("t"))
+    chars = F.split("t", "")
+    numbered = F.transform(chars, lambda y, i: F.concat(y, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == y)).cast("string")))
+    short = d.where(F.col("n") <= SHORT * (2 - least) / least).select("t", "n", F.explode(numbered).alias("c"))
+    ranked = short.join(short.groupBy("c").agg(F.count(F.lit(1)).alias("df")), "c").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "c"))).alias("s"))
+    place, few, need = F.sequence(F.lit(0), F.size("p") - 1), F.col("n") <= 3, F.ceil(F.col("n") * (least / (2 - least)) - 1e-9).cast("int")
+    ranked = ranked.withColumn("p", F.slice("s.c", F.lit(1), F.greatest(F.lit(1), F.col("n") - need + 3)))
+    at = lambda i: F.get("p", i)
+    after = lambda i: F.filter(place, lambda j: j > i)
+    triples = F.flatten(F.transform(place, lambda i: F.flatten(F.transform(after(i), lambda j: F.transform(after(j), lambda k: F.xxhash64(F.lit("c"), at(i), at(j), at(k)))))))
+    twos = F.flatten(F.transform(place, lambda i: F.transform(after(i), lambda j: F.xxhash64(F.lit("c"), at(i), at(j)))))
+    by_chars = ranked.select("t", "n", F.explode(F.when(few, F.concat(twos, triples)).otherwise(triples)).alias("key"))
+    words = d.where(F.col("n") > SHORT).select("t", "n", F.explode(F.array_distinct(tokens(F.col("t")))).alias("w"))
+    spread = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    share = 2 if least >= 0.8 else 3
+    spread = spread.select("t", "n", F.explode(F.slice("s", F.lit(1), F.floor(F.size("s") / share).cast("int") + 1)).alias("x"), "s")
+    hot = (F.col("x.df") > HOT) & (F.size("s") > 1)
+    pairs = F.transform(F.filter("s", lambda y: y["w"] != F.col("x.w")), lambda y: F.xxhash64(F.lit("ww"), F.least(y["w"], F.col("x.w")), F.greatest(y["w"], F.col("x.w"))))
+    by_words = spread.select("t", "n", F.explode(F.when(hot, pairs).otherwise(F.array(F.xxhash64(F.lit("w"), "x.w")))).alias("key"))
+    return by_chars.unionByName(by_words)
+
+
+def candidates(d: DataFrame, least: float) -> DataFrame:
+    """(ta, tb), ta < tb, of distinct texts t that share a key and whose lengths allow the ratio."""
+    keys = text_keys(d, least)
+    left, right = keys.toDF("ta", "na", "key"), keys.toDF("tb", "nb", "key")
+    return left.join(right, "key").where("ta < tb").where(2 * F.least("na", "nb") >= (F.col("na") + F.col("nb")) * least - 1e-9).select("ta", "tb").distinct()
+
+
+def similar_texts(texts: DataFrame, least: float) -> DataFrame:
+    """(ta, tb, first, ratio): distinct texts (of article_id, t) whose ratio is `least` or more, with the first article of ta.
+
+    The ratio depends on the order of its two texts: that of the articles, where ta has one before some of tb.
+    """
+    d = texts.groupBy("t").agg(F.min("article_id").alias("first"), F.max("article_id").alias("last"))
+    pairs = candidates(d, least).join(d.select(F.col("t").alias("ta"), F.col("first").alias("fa"), F.col("last").alias("la")), "ta").join(d.select(F.col("t").alias("tb"), F.col("first").alias("fb"), F.col("last").alias("lb")), "tb")
+    ways = F.filter(F.array(F.when(F.col("fa") < F.col("lb"), F.struct("ta", "tb", F.col("fa").alias("first"))), F.when(F.col("fb") < F.col("la"), F.struct(F.col("tb").alias("ta"), F.col("ta").alias("tb"), F.col("fb").alias("first")))), lambda x: x.isNotNull())
+    both = pairs.select(F.explode(ways).alias("p")).select("p.*").repartition("ta", "tb").withColumn("ratio", text_ratio("ta", "tb", F.lit(least))).where(F.col("ratio") >= least)
+    return both.unionByName(d.select(F.col("t").alias("ta"), F.col("t").alias("tb"), "first", F.lit(1.0).alias("ratio")))
+
+
 def similar_titles(titles: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, ratio) of titles with that ratio or more, by exact ratio; equal titles are compared once."""
+    """(a, b, ratio) of the articles whose titles have that ratio or more."""
     named = titles.select("article_id", clean_title(F.col("title")).alias("t")).where("t <> ''")
-    # The matched characters are common ones, repeats counted: 2M/T >= r needs M >= r n / (2 - r) of either title.
-    numbered = "transform({0}, (y, i) -> concat(y, cast(size(filter(slice({0}, 1, i), x -> x = y)) as string)))"
-    d = named.groupBy("t").agg(F.min("article_id").alias("first"), F.max("article_id").alias("last")).withColumn("c", F.split("t", ""))
-    d = d.withColumn("n", F.size("c")).withColumn("g", F.expr("zip_with(slice(c, 1, n - 1), slice(c, 2, n - 1), (x, y) -> concat(x, y))"))
-    d = d.select("t", "first", "last", "n", F.expr(numbered.format("c")).alias("c"), F.expr(numbered.format("g")).alias("g"))
-    # Prefix filter, as in token_jaccard, over numbered characters.
-    each = d.select("t", "n", F.explode("c").alias("c"))
-    ranked = each.join(each.groupBy("c").agg(F.count(F.lit(1)).alias("df")), "c").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("df", "c")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1).select("t", "n", "c")
-    left, right = prefix.select(F.col("t").alias("ta"), F.col("n").alias("na"), "c"), prefix.select(F.col("t").alias("tb"), F.col("n").alias("nb"), "c")
-    pairs = left.join(right, "c").where("ta < tb").where(F.least("na", "nb") >= F.greatest("na", "nb") * (least / (2 - least)) - 1e-9).select("ta", "tb").distinct()
-    side = lambda x: d.select(*[F.col(c).alias(f"{c}{x}") for c in ("t", "first", "last", "c", "g")])
-    total = F.size("ca") + F.size("cb")
-    close = pairs.join(side("a"), "ta").join(side("b"), "tb").where(2 * F.size(F.array_intersect("ca", "cb")) >= total * least - 1e-9)
-    # M matched characters lie in T - 2M + 1 blocks at most, so both titles hold 3M - T - 1 pairs of neighbours.
-    close = close.where(F.size(F.array_intersect("ga", "gb")) >= total * (1.5 * least - 1) - 1 - 1e-9)
-    # The ratio depends on the order of its two titles, and that is the order of the articles.
-    order = F.filter(F.array(F.when(F.col("firsta") < F.col("lastb"), F.struct("ta", "tb")), F.when(F.col("firstb") < F.col("lasta"), F.struct(F.col("tb").alias("ta"), F.col("ta").alias("tb")))), lambda x: x.isNotNull())
-    both = close.select(F.explode(order).alias("p")).select("p.ta", "p.tb").repartition("ta", "tb").withColumn("ratio", title_ratio("ta", "tb")).where(F.col("ratio") >= least)
-    both = both.unionByName(d.select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("ratio")))
+    both = similar_texts(named, least).drop("first")
     left, right = named.select(F.col("article_id").alias("a"), F.col("t").alias("ta")), named.select(F.col("article_id").alias("b"), F.col("t").alias("tb"))
     return left.join(both, "ta").join(right, "tb").where("a < b").select("a", "b", "ratio")
 
 
+def title_groups(titles: DataFrame, least: float = 0.8) -> DataFrame:
+    """(article_id, first, links): for each article the first one with its title, and how many other titles are similar to it in
+    either order. Linear in the articles, however often a title repeats."""
+    named = titles.select("article_id", clean_title(F.col("title")).alias("t")).where("t <> ''")
+    links = similar_texts(named, least).where("ta <> tb")
+    ends = links.select(F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y")).distinct()
+    n = ends.select(F.explode(F.array("x", "y")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("links"))
+    first = named.groupBy("t").agg(F.min("article_id").alias("first"))
+    return named.join(first, "t").join(n, "t", "left").select("article_id", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def token_jaccard(titles: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b, jaccard) of titles that share words, by an inverted index of their distinct words."""
     d = titles.select("article_id", F.array_distinct(F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: w != "")).alias("w")).withColumn("n", F.size("w"))

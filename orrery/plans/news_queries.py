@@ -69,6 +69,11 @@ def title_similarity(spark, sf):
     return v.rounded(news.similar_titles(articles(spark, sf)))
 
 
+@query()
+def title_groups(spark, sf):
+    return news.title_groups(articles(spark, sf))
+
+
 _SH = {k: f"len(list_filter(w, lambda x: list_contains({_list(m)}, x)))::DOUBLE / greatest(len(w), 1)" for k, m in news.LANGUAGES.items()}
 
 
