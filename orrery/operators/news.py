@@ -139,6 +139,8 @@ def dedup(articles: DataFrame, title_least: float = 0.8, content_least: float =
 
 #: Texts up to this length are paired by characters, longer ones by words; words in more texts than HOT join only with a second one.
 SHORT, HOT = 24, 1000
+#: Longer texts than this must share so many of their rarer words.
+LONG, MANY = 200, 3
 
 
 def text_keys(d: DataFrame, least: float) -> DataFrame:
@@ -173,10 +175,12 @@ def text_keys(d: DataFrame, least: float) -> DataFrame:
 
 
 def candidates(d: DataFrame, least: float) -> DataFrame:
-    """(ta, tb), ta < tb, of distinct texts t that share a key and whose lengths allow the ratio."""
+    """(ta, tb), ta < tb, of distinct texts t that share a key (long ones MANY) and whose lengths allow the ratio."""
     keys = text_keys(d, least)
     left, right = keys.toDF("ta", "na", "key"), keys.toDF("tb", "nb", "key")
-    return left.join(right, "key").where("ta < tb").where(2 * F.least("na", "nb") >= (F.col("na") + F.col("nb")) * least - 1e-9).select("ta", "tb").distinct()
+    pairs = left.join(right, "key").where("ta < tb").where(2 * F.least("na", "nb") >= (F.col("na") + F.col("nb")) * least - 1e-9)
+    several = F.when(F.least(F.first("na"), F.first("nb")) > LONG, MANY).otherwise(1)
+    return pairs.groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("c"), several.alias("m")).where("c >= m").select("ta", "tb")
 
 
 def similar_texts(texts: DataFrame, least: float) -> DataFrame:
@@ -351,3 +355,39 @@ def roll_up(scored: DataFrame, by: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
+
+
+# The chain.
+
+#: Fixed weights of the six parts.
+COMPOSITE = {"relevance": 0.25, "freshness": 0.20, "credibility": 0.15, "quality": 0.20, "importance": 0.10, "impact": 0.10}
+
+
+def fan_in(sources: list[DataFrame], key: str = "url") -> DataFrame:
+    """Articles of all providers, in their order of priority; of one canonical url the first provider's stays (its least id)."""
+    every = None
+    for k, s in enumerate(sources):
+        d = s.withColumn("priority", F.lit(k))
+        every = d if every is None else every.unionByName(d, allowMissingColumns=True)
+    d = every.withColumn("_key", canonical_url(F.col(key)))
+    first = d.groupBy("_key").agg(F.min(F.struct("priority", "article_id")).alias("_first"))
+    return d.join(first, "_key").where((F.col("priority") == F.col("_first.priority")) & (F.col("article_id") == F.col("_first.article_id"))).drop("_key", "_first")
+
+
+def distinct_articles(articles: DataFrame, similar: bool = True) -> DataFrame:
+    """Those that repeat none before them: by all four rules, or only by the rules of equality."""
+    if similar:
+        return dedup(articles).where("reason is null").drop("reason", "duplicate_of")
+    d = articles.withColumns({"_text": F.sha2(F.coalesce("content", F.lit("")), 256), "_url": canonical_url(F.col("url")), "_print": fingerprint(F.col("summary"), F.col("content"))})
+    for key in ("_text", "_url", "_print"):
+        d = d.join(d.groupBy(key).agg(F.min("article_id").alias(f"first{key}")), key, "left")
+    return d.where("first_text = article_id and first_url = article_id and first_print = article_id").drop("_text", "_url", "_print", "first_text", "first_url", "first_print")
+
+
+def process(sources: list[DataFrame], parts: dict[str, Column], by: str = "lang", least: float = 0.3, most: int = 20, similar: bool = True) -> DataFrame:
+    """Fan-in, cleaning of content, dedup, the composite of all six parts (columns of an article, named as in COMPOSITE), filter
+    by it, and each group's `most` best: the surveyed chain as one plan. Ties go to the lower article_id."""
+    clean = fan_in(sources).withColumn("content", strip_html(F.col("content")))
+    scored = distinct_articles(clean, similar).withColumns({k: parts[k] for k in COMPOSITE})
+    scored = scored.withColumn("composite", F.round(composite({k: F.coalesce(F.col(k), F.lit(0.0)) for k in COMPOSITE}, COMPOSITE), 6)).where(F.col("composite") >= least)
+    return top_per_group(scored, by, "composite", "article_id", most)
