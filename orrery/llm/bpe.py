@@ -259,6 +259,10 @@ class Encoder:
                     del known[p]
         return out
 
+    def forget(self) -> None:
+        """Drops the pieces that are held: a worker outlives its task, and idle ones shouldn't keep what they knew."""
+        self.space, self.start, self.older, self.known = {}, {}, {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids in UTF-8; bytes that are no UTF-8 become replacement characters, as in the library."""
         raw = b"".join([self.bytes[i] for i in ids])
@@ -296,6 +300,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         e = encoder(path)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in e.encode_batch(b["text"])]})
+        e.forget()
 
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
@@ -326,6 +331,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 a.append(hashlib.sha256(",".join([strings[i] for i in ids]).encode()).hexdigest())
                 d.append(hashlib.sha256(e.decode(ids)).hexdigest())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": d})
+        e.forget()
 
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
