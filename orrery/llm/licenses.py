@@ -138,16 +138,21 @@ def find(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
 
 
 def sql(templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same as SQL: every unit against every template, without pruning."""
+    """The same as SQL: every unit and every window against every template, without pruning."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quote(n)}, [{', '.join(map(quote, b))}])" for n, b in _templates(templates))
+    rows = ", ".join(f"({quote(n)}, [{', '.join(map(quote, b))}], {m})" for (n, b), m in zip(_templates(templates), _lengths(templates)))
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT rid, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')), [text]))) AS u FROM d),
 w AS (SELECT rid, list_filter(regexp_split_to_array(lower(u), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM u),
-g AS (SELECT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
-t AS (SELECT * FROM (VALUES {rows}) t(name, b)),
-s AS (SELECT rid, name, max(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)))::DOUBLE AS dice FROM g, t GROUP BY rid, name),
+t AS (SELECT * FROM (VALUES {rows}) t(name, b, m)),
+g AS (SELECT rid, name, b, list_distinct({pairs}) AS g FROM w, t WHERE len(w) > 1),
+whole AS (SELECT rid, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM d),
+a AS (SELECT rid, {pairs} AS al FROM whole WHERE len(w) > 1),
+i AS (SELECT rid, name, b, m, al, unnest(list_distinct(list_filter(list_transform(al, lambda x, i: CASE WHEN list_contains(b, x) THEN least(i, greatest(len(al) - m + 1, 1)) END), lambda i: i IS NOT NULL))) AS i FROM a, t),
+e AS (SELECT rid, name, b, g FROM g UNION ALL SELECT rid, name, b, list_distinct(list_slice(al, i, i + m - 1)) FROM i),
+s AS (SELECT rid, name, max(2.0 * len(list_intersect(g, b)) / (len(g) + len(b)))::DOUBLE AS dice FROM e GROUP BY rid, name),
 f AS (SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(dice) AS best FROM s WHERE dice >= {threshold} GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, round(coalesce(best, 0), 6) AS best_dice FROM d LEFT JOIN f ON d.rid = f.rid
 """

@@ -385,24 +385,26 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shards: int | N
 
     encoded = docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary, wide boolean, shard int")
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    rows = dealt.mapInPandas(lambda batches: _store(batches, folder), "shard int, n_docs long, n_ids long, file string").collect()  # one row per file
+    run = uuid.uuid4().hex
+    rows = dealt.mapInPandas(lambda batches: _store(batches, folder, run), "shard int, n_docs long, n_ids long, file string").collect()  # one row per file
+    # What repeated attempts of this run left behind goes; other files are none of its business.
     known = {r[3] for r in rows}
     files, at = _at(folder)
     for f in files.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
-        if f.base_name not in known:
+        if f"-{run}-" in f.base_name and f.base_name not in known:
             files.delete_file(f.path)
     return sorted((r[0], r[1], r[2], r[3]) for r in rows)
 
 
-def _store(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
-    """Sorted rows into one file per shard, under names of this attempt."""
+def _store(batches: Iterator[pd.DataFrame], folder: str, run: str = "") -> Iterator[pd.DataFrame]:
+    """Sorted rows into one file per shard, under names of this run and attempt."""
     now, at, file, done = None, None, "", []
     for b in batches:
         for shard, part in b.groupby("shard", sort=False):
             if shard != at:
                 if now:
                     done.append((at, *now.close(), file))
-                at, file = int(shard), f"shard-{int(shard):06d}-{uuid.uuid4().hex}.pfor"
+                at, file = int(shard), f"shard-{int(shard):06d}-{run}-{uuid.uuid4().hex}.pfor"
                 now = Writer(f"{folder}/{file}")
             ids = [np.frombuffer(x, "<u4" if w else "<u2").astype(np.int64) for x, w in zip(part["ids"], part["wide"])]
             now.add(part["doc_id"].fillna(0).to_numpy(np.int64), part["doc_id"].isna().to_numpy(), ids)
