@@ -105,13 +105,14 @@ def event_polarity(event: Column, sentiment: Column) -> Column:
     return F.when(event.isin(GOOD), "positive").when(event.isin(BAD), "negative").when(sentiment.isin("positive", "negative"), sentiment).otherwise("neutral")
 
 
-def keyword_sentences(docs: DataFrame, words: list[str], most: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, place, sentence): the distinct sentences, lowered and trimmed, that hold a word; the first `most` of a text.
+def keyword_sentences(docs: DataFrame, words: list[str], most: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, place, sentence): the distinct sentences, lowered and trimmed, that hold a word; all, or the first `most` of a text.
 
     Sentences end at full stops; place is the position of the first of equal ones. Null texts have none.
     """
     held = F.filter(F.transform(F.split(F.lower(text), "\\."), lambda s: F.trim(s)), lambda s: s.rlike("|".join(words)))
-    return docs.select(id, F.posexplode(F.slice(F.array_distinct(held), 1, most)).alias("place", "sentence"))
+    held = F.array_distinct(held)
+    return docs.select(id, F.posexplode(held if most is None else F.slice(held, 1, most)).alias("place", "sentence"))
 
 
 # Pairs of opposing terms.
@@ -149,7 +150,7 @@ FORMS = {
     "earnings": ["(?i)earnings\\s+(?:release|report|announcement)", "(?i)quarterly\\s+earnings", "(?i)q[1-4]\\s+\\d{4}\\s+earnings"],
     "presentation": ["(?i)investor\\s+presentation", "(?i)earnings\\s+presentation", "(?i)company\\s+presentation"],
 }
-CIK = "(?i)(?:cik|central\\s+index\\s+key|commission\\s+file\\s+number)\\s*[:\\-]?\\s*(\\d{10})"
+CIK = ["(?i)cik\\s*[:\\-]?\\s*(\\d{10})", "(?i)central\\s+index\\s+key\\s*[:\\-]?\\s*(\\d{10})", "(?i)commission\\s+file\\s+number\\s*[:\\-]?\\s*(\\d{10})"]
 ACCESSION = "(?i)accession\\s+number\\s*[:\\-]?\\s*(\\d{10}-\\d{2}-\\d{6})"
 FISCAL_YEAR = "(?i)year\\s+(?:ended|ending)\\s*:?\\s*(?:\\w+\\s+\\d{1,2},\\s*)?(\\d{4})"
 FISCAL_QUARTER = "(?i)(?:fiscal\\s+quarter\\s+|\\bq)([1-4])\\s"
@@ -166,4 +167,4 @@ def filing_metadata(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     form = F.when(most > 0, F.coalesce(*[F.when(F.col(f"hits_{k}") == most, F.lit(k)) for k in FORMS]))
     first = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     year = first(FISCAL_YEAR).cast("int")
-    return d.select(id, form.alias("form"), first(CIK).alias("cik"), first(ACCESSION).alias("accession"), F.when(year.between(1990, 2030), year).alias("fiscal_year"), first(FISCAL_QUARTER).cast("int").alias("fiscal_quarter"))
+    return d.select(id, form.alias("form"), F.coalesce(*[first(p) for p in CIK]).alias("cik"), first(ACCESSION).alias("accession"), F.when(year.between(1990, 2030), year).alias("fiscal_year"), first(FISCAL_QUARTER).cast("int").alias("fiscal_quarter"))

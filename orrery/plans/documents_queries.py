@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence, extraction, news, scoring
+from orrery.operators import evidence, extraction, news, scoring, statements
 from orrery.plans import news_queries as nq
 from orrery.plans import views as v
 from orrery.plans.registry import query
@@ -77,3 +77,44 @@ def news_chain(spark, sf):
     }
     out = news.process([every.where("article_id % 2 = 0"), every], parts, similar=False)
     return v.rounded(out.select("article_id", "lang", "relevance", "credibility", "composite", "rank"))
+
+
+# Statements: an income table and a balance sheet of each nation, made from its orders; and the articles of all pages.
+_HTML = """st AS (SELECT 'n' || n_nationkey AS id, '<table><tr><th>Consolidated statements of income</th><th>1998</th><th>1997</th></tr><tr><td>Net revenue</td><td>$' || CAST(round(sum(o_totalprice)) AS BIGINT) || '</td></tr><tr><td>Cost of sales</td><td>n/a</td><td>(' || count(*) || ')</td></tr><tr><td>Income tax</td><td></td></tr><tr><td>Net income</td><td>' || n_nationkey || '.5%</td></tr></table>
+<p>between</p><TABLE><tr><td>Total assets</td><td>' || n_nationkey || ',000</td></tr><tr><td>Total liabilities &amp; equity</td><td>-' || count(DISTINCT c_custkey) || '</td></tr></TABLE>' AS html FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 'p' || page_id, html FROM pages)"""
+
+
+def _statements(spark, sf):
+    t = lambda n: v.table(spark, sf, n)
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.round(F.sum("o_totalprice")).cast("bigint").alias("total"), F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("m"))
+    k = F.col("c_nationkey").cast("string")
+    html = F.concat(
+        F.lit("<table><tr><th>Consolidated statements of income</th><th>1998</th><th>1997</th></tr><tr><td>Net revenue</td><td>$"), F.col("total").cast("string"), F.lit("</td></tr><tr><td>Cost of sales</td><td>n/a</td><td>("), F.col("n").cast("string"), F.lit(")</td></tr><tr><td>Income tax</td><td></td></tr><tr><td>Net income</td><td>"), k,
+        F.lit(".5%</td></tr></table>\n<p>between</p><TABLE><tr><td>Total assets</td><td>"), k, F.lit(",000</td></tr><tr><td>Total liabilities &amp; equity</td><td>-"), F.col("m").cast("string"), F.lit("</td></tr></TABLE>"),
+    )
+    made = o.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("n"), k).alias("id"), html.alias("html"))
+    every = made.unionByName(t("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "html"))
+    return statements.classified(statements.tables(every, "id"))
+
+
+def _cells(x: str) -> str:
+    for p, b in (("<[^>]*>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), ("[ \\t\\n\\r\\f\\x0B]+", " ")):
+        x = f"regexp_replace({x}, '{p}', '{b}', 'g')"
+    return f"trim({x})"
+
+
+_NUM = "regexp_matches(trim(regexp_replace({0}, '[,$%()\\-]', '', 'g')), '" + statements.NUMBER + "')"
+_TABS = f"""{_HTML}, tb AS (SELECT id, generate_subscripts(l, 1) - 1 AS table_no, unnest(l) AS t FROM (SELECT id, regexp_extract_all(html, '{statements.TABLE}') AS l FROM st)), rw AS (SELECT id, table_no, list_filter(list_transform(string_split_regex(t, '{statements.ROW}')[2:], lambda r: list_filter(list_transform(string_split_regex(r, '{statements.CELL}'), lambda c: {_cells('c')}), lambda c: c <> '')), lambda r: len(r) > 0) AS rs FROM tb),
+cl AS (SELECT *, lower(array_to_string(flatten(rs), ' ')) AS txt, 2 * len(list_filter(rs[1], lambda c: NOT {_NUM.format('c')})) > len(rs[1]) AS header FROM rw WHERE len(rs) > 0), ck AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(txt, '{p}') THEN '{k}'" for k, p in statements.KINDS.items())} ELSE 'other' END AS kind, CASE WHEN header THEN rs[2:] ELSE rs END AS body FROM cl)"""
+
+
+@query(f"""WITH {_TABS} SELECT id, CAST(table_no AS INT) AS table_no, kind, CAST(len(body) AS INT) AS n_rows, CASE WHEN kind = 'other' THEN 0.3e0 ELSE least(1, round(0.7e0 + 0.1e0 * (CAST(header AND len(rs[1]) > 2 AS INT) + CAST(len(body) > 3 AS INT) + CAST(len(body) > 10 AS INT) + CAST(coalesce(len(list_filter(flatten(body), lambda c: {_NUM.format('c')})) / nullif(len(flatten(body)), 0)::DOUBLE > 0.3, false) AS INT)), 1)) END AS confidence FROM ck""")
+def statement_tables(spark, sf):
+    return _statements(spark, sf).select("id", "table_no", "kind", F.size("body").alias("n_rows"), "confidence")
+
+
+@query(f"""WITH {_TABS}, r AS (SELECT id, table_no, kind, generate_subscripts(body, 1) AS row_no, unnest(body) AS cells FROM ck WHERE kind <> 'other'), a AS (SELECT * FROM (VALUES {', '.join(f"('{k}', [{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in al)}])" for k, al in statements.ITEMS.items())}) a(item, aliases)),
+h AS (SELECT id, table_no, kind, item, row_no, list_filter(cells[2:], lambda c: {_NUM.format('c')})[1] AS cell FROM r, a WHERE len(list_filter(aliases, lambda x: contains(lower(cells[1]), x))) > 0)
+SELECT id, CAST(table_no AS INT) AS table_no, kind, item, arg_max(CAST(trim(regexp_replace(cell, '[,$%()\-]', '', 'g')) AS DOUBLE) * CASE WHEN cell LIKE '(%' OR cell LIKE '-%' THEN -1 ELSE 1 END, row_no) AS value FROM h WHERE cell IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def statement_items(spark, sf):
+    return statements.line_items(_statements(spark, sf))

@@ -125,7 +125,7 @@ def filing_metadata(spark, sf):
     return recognition.filing_metadata(v.table(spark, sf, "orders").select("o_orderkey", text.alias("text")), "o_orderkey")
 
 
-@query("""SELECT doc_id, CAST(least(20, len(list_distinct([trim(x, ' ') FOR x IN string_split(lower(text), '.') IF regexp_matches(x, 'the|und')]))) AS BIGINT) AS sentences FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), 'the|und')""")
+@query("""SELECT doc_id, CAST(len(list_distinct([trim(x, ' ') FOR x IN string_split(lower(text), '.') IF regexp_matches(x, 'the|und')])) AS BIGINT) AS sentences FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), 'the|und')""")
 def keyword_sentences(spark, sf):
     return recognition.keyword_sentences(v.table(spark, sf, "documents"), ["the", "und"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
 
