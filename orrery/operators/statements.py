@@ -74,7 +74,7 @@ def classified(tables: DataFrame) -> DataFrame:
     mostly text), more than 3 and more than 10 rows below it, and more than .3 of their cells numeric; at most 1."""
     d = tables.withColumn("text", F.lower(F.array_join(F.flatten("rows"), " ")))
     kind = F.coalesce(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in KINDS.items()], F.lit("other"))
-    first = F.element_at("rows", 1)
+    first = F.get("rows", 0)
     header = 2 * F.size(F.filter(first, lambda c: ~is_number(c))) > F.size(first)
     d = d.withColumns({"kind": kind, "header": header}).withColumn("body", F.when(F.col("header"), F.slice("rows", 2, 1 << 30)).otherwise(F.col("rows")))
     cells = F.flatten("body")
@@ -87,7 +87,7 @@ def line_items(classified: DataFrame, items: dict[str, list[str]] = ITEMS) -> Da
     """(id, table_no, kind, item, value): rows whose first cell holds an alias give the item their first numeric cell after it; of
     several rows of an item the last one counts. Values in brackets are negative."""
     row = classified.where("kind <> 'other'").select("id", "table_no", "kind", F.posexplode("body").alias("row_no", "cells"))
-    label = F.lower(F.element_at("cells", 1))
+    label = F.lower(F.get("cells", 0))
     named = F.filter(F.array(*[F.when(F.exists(F.array(*map(F.lit, aliases)), lambda a: F.contains(label, a)), F.lit(k)) for k, aliases in items.items()]), lambda k: k.isNotNull())
     amount = F.get(F.filter(F.slice("cells", 2, 1 << 30), is_number), 0)
     d = row.select("id", "table_no", "kind", "row_no", F.explode(named).alias("item"), amount.alias("cell")).where("cell is not null")
