@@ -115,6 +115,6 @@ def statement_tables(spark, sf):
 
 @query(f"""WITH {_TABS}, r AS (SELECT id, table_no, kind, generate_subscripts(body, 1) AS row_no, unnest(body) AS cells FROM ck WHERE kind <> 'other'), a AS (SELECT * FROM (VALUES {', '.join(f"('{k}', [{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in al)}])" for k, al in statements.ITEMS.items())}) a(item, aliases)),
 h AS (SELECT id, table_no, kind, item, row_no, list_filter(cells[2:], lambda c: {_NUM.format('c')})[1] AS cell FROM r, a WHERE len(list_filter(aliases, lambda x: contains(lower(cells[1]), x))) > 0)
-SELECT id, CAST(table_no AS INT) AS table_no, kind, item, arg_max(CAST(trim(regexp_replace(cell, '[,$%()\-]', '', 'g')) AS DOUBLE) * CASE WHEN cell LIKE '(%' OR cell LIKE '-%' THEN -1 ELSE 1 END, row_no) AS value FROM h WHERE cell IS NOT NULL GROUP BY 1, 2, 3, 4""")
+SELECT id, CAST(table_no AS INT) AS table_no, kind, item, arg_max(CAST(trim(regexp_replace(cell, '[,$%()\\-]', '', 'g')) AS DOUBLE) * CASE WHEN cell LIKE '(%' OR cell LIKE '-%' THEN -1 ELSE 1 END, row_no) AS value FROM h WHERE cell IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def statement_items(spark, sf):
     return statements.line_items(_statements(spark, sf))
