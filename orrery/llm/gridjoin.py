@@ -264,3 +264,11 @@ def keep_first(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     gone = near_vectors(vectors, cosine).where("not kept").select(F.col("vec_id").alias("gone")).distinct()
     gone = Staging(vectors.sparkSession, "gone").keep(gone)
     return vectors.join(gone, vectors["vec_id"] == gone["gone"], "left_anti")
+
+
+#: The same as SQL, over all pairs of a label.
+SQL = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT rid, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+r AS (SELECT rid AS x, rid AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y), c AS (SELECT r.x, min(vec_id) AS component_id FROM r JOIN v ON v.rid = r.y GROUP BY 1), k AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, component_id IS NULL) AS kept FROM v JOIN c ON c.x = v.rid LEFT JOIN k ON k.x = v.rid"""

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, ascii_lower, bounded_batches, each_of, words_of
+from orrery.llm.common import LOWER, UPPER, Staging, ascii_lower, bounded_batches, each_of, words_of
 from orrery.llm.links import link
 
 SHINGLE = 5
@@ -209,3 +209,11 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+#: The same as SQL, over all pairs with a common shingle.
+SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN ['  ' || array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS g FROM d),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY 1), i AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2), l AS MATERIALIZED (SELECT x, y FROM i JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= {PERCENT} * (nx.n + ny.n - c)),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y), c AS (SELECT r.x, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, component_id IS NULL) AS kept FROM d JOIN c ON c.x = d.rid LEFT JOIN n ON n.rid = d.rid"""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, ascii_lower, bounded_batches
+from orrery.llm.common import LOWER, UPPER, Staging, ascii_lower, bounded_batches
 
 FREQUENT, LONGEST, TOP = 100, 5, 2000
 BREAKS, BLANKS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
@@ -176,3 +176,12 @@ def collocations(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST,
     scored = both.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("s"))
     order = Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("s.a"), "phrase")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "s.a", "s.l", "s.r", "s.n", "s.score")
+
+
+#: The same as SQL, with every phrase counted.
+SQL = f"""WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '{BLANKS.replace(chr(92) * 2, chr(92))}'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BREAKS.replace(chr(92) * 2, chr(92))}')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1), g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest(range(1, {LONGEST + 1})) AS k) WHERE len(w) >= k) GROUP BY 1, 2, 3 HAVING count(*) >= {FREQUENT}),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1), longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, f FROM c WHERE k > 2) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR longer.f < c.f), cut AS (SELECT *, unnest(range(1, k)) AS j FROM kept),
+s AS (SELECT cut.lang, cut.phrase, cut.f AS a, j, h.f AS l, t.f AS r, n.n, ((1000::HUGEINT * cut.f * n.n) // (h.f::HUGEINT * t.f))::BIGINT AS score FROM cut JOIN n ON n.lang = cut.lang JOIN g h ON h.lang = cut.lang AND h.phrase = array_to_string(w[1:j], ' ') JOIN g t ON t.lang = cut.lang AND t.phrase = array_to_string(w[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1) SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {TOP}"""

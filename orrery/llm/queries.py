@@ -61,4 +61,4 @@ def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_licenses, op5_url_filter, op6_bpe, op7_near_duplicates, op8_quality, op9_token_files, op10_line_dedup, op11_periodic_runs, op12_collocations, op13_near_vectors)}
-ORACLE = {"op3_quality_rules": rules.SQL, "op4_licenses": licenses.sql(), "op5_url_filter": urls.SQL}
+ORACLE = {"op3_quality_rules": rules.SQL, "op4_licenses": licenses.sql(), "op5_url_filter": urls.SQL, "op7_near_duplicates": neardup.SQL, "op12_collocations": phrases.SQL, "op13_near_vectors": gridjoin.SQL}
