@@ -50,18 +50,29 @@ def factor_regression(spark, sf):
     return d.select("portfolio", "n", F.round("alpha", 4).alias("alpha"), F.round("r2", 6).alias("r2"), F.round("beta_market", 6).alias("beta_market"))
 
 
-ASSETS = pd.DataFrame({"symbol": ["a", "b", "c"], "weight": [0.5, 0.3, 0.2], "mu": [0.05, 0.08, 0.03], "sigma": [0.2, 0.3, 0.1]})
-CORRELATION = np.array([[1, 0.5, 0.2], [0.5, 1, 0.1], [0.2, 0.1, 1]])
+def _assets(spark, sf) -> tuple[pd.DataFrame, np.ndarray]:
+    """Each portfolio as an asset: its share of all last values, yearly mean and deviation of its returns; their correlations.
+
+    One row an asset and one a pair of assets reach the driver, which needs the matrix to draw from.
+    """
+    r = risk.simple_returns(v.snapshots(spark, sf))
+    known = r.groupBy("portfolio").agg(F.max_by("value", "day").alias("last"), (F.avg("r") * 12).alias("mu"), (F.stddev_pop("r") * 12**0.5).alias("sigma")).orderBy("portfolio").toPandas()
+    known["weight"] = known["last"] / known["last"].sum()
+    at = {p: k for k, p in enumerate(known["portfolio"])}
+    matrix = np.eye(len(at))
+    for x in risk.pairwise_correlation(r).select("a", "b", "correlation").collect():
+        matrix[at[x.a], at[x.b]] = matrix[at[x.b], at[x.a]] = x.correlation
+    return known.rename(columns={"portfolio": "symbol"})[["symbol", "weight", "mu", "sigma"]], matrix
 
 
 @query()
 def monte_carlo(spark, sf):
-    return v.rounded(pf.simulation_summary(pf.monte_carlo(spark, ASSETS, CORRELATION, 4000, 21)))
+    return v.rounded(pf.simulation_summary(pf.monte_carlo(spark, *_assets(spark, sf), 4000, 21)))
 
 
 @query()
 def stress_tests(spark, sf):
-    return v.rounded(pf.stress(spark, ASSETS, CORRELATION, {"crash": (-0.2, 2.0), "calm": (0.0, 0.5), "rate_shock": (-0.05, 1.3)}, 1000))
+    return v.rounded(pf.stress(spark, *_assets(spark, sf), {"crash": (-0.2, 2.0), "calm": (0.0, 0.5), "rate_shock": (-0.05, 1.3)}, 1000))
 
 
 @query(f"""WITH {v.RETURNS}, w AS (SELECT *, value / lag(value, 3) OVER o - 1 AS momentum, stddev_pop(r) OVER (PARTITION BY portfolio ORDER BY day ROWS 5 PRECEDING) / nullif(stddev_pop(r) OVER (PARTITION BY portfolio ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS vr, 1 - value / max(value) OVER (PARTITION BY portfolio ORDER BY day ROWS UNBOUNDED PRECEDING) AS dd FROM returns WINDOW o AS (PARTITION BY portfolio ORDER BY day)),
