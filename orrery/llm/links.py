@@ -44,6 +44,7 @@ def link(stage: Staging, shared: DataFrame, items: DataFrame, confirm: Callable[
             labels = _joined(stage, labels, more)
             if found * 20 < n:
                 break
+            rows = _open(stage, rows, labels)
         crowd = rows.join(labels, "cid").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
         pairs = crowd.agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
         if depth == DEPTH or pairs <= roomy * n * (CHEAP if depth else 1):
@@ -54,6 +55,14 @@ def link(stage: Staging, shared: DataFrame, items: DataFrame, confirm: Callable[
     return labels
 
 
+def _open(stage: Staging, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows under keys that still hold several components; what is settled is not carried through further rounds."""
+    mixed = rows.select("key", "cid").join(labels, "cid").groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    left = stage.keep(rows.join(mixed, "key", "left_semi"))
+    stage.drop(rows)
+    return left
+
+
 def _joined(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         stage.drop(links)
