@@ -4,12 +4,14 @@ Lines with a word take part; others stay as they are. Two lines are linked if th
 most EDITS and at most one for PER code points of the shorter one. Linked lines form classes (components); of each class
 the first occurrence, by doc_id and place in the text, stays and all others go.
 
-Filter: a line is cut into EDITS + 1 even segments. Of two linked lines, the longer one has a segment of the shorter
-one as a substring near its place; for every length difference the few possible starts are known (those that fit the
-edits left of the segment and right of it). Each line so has index keys for its own segments and probe keys for its
-substrings, all hashed with the length of the shorter line and the number of the segment; lines are compared only
-under common keys. Only hashes are shuffled, and equal lines collapse before they are. Lines that share a segment but
-differ elsewhere (variants of one line) are parted by the place where they leave a common pivot; see links.py.
+Filter: a line is taken as e + 1 disjoint regions, e being the edits that its length allows. Of two linked lines one region
+is left alone by all edits, with no more edits before it than regions before it and no more after it than regions after
+it; so it lies near its place as counted from the closer end. Regions have the size that fits the shortest line of a class
+of lengths (WIDTH long), so lines of one class have the same ones whatever their length, and a line only takes part in the
+classes of the shorter lines that it may be linked with: five keys a line, about, each a hash of a window. Lines are
+compared only under common keys. A key and the hash of its line is all that is shuffled, once, whatever the size; lines
+that occur very often give keys at their first occurrence only. Lines that share a region but differ elsewhere (variants
+of one line) are parted by the place where they leave a common pivot; see links.py.
 
 Verify: the common prefix and suffix are cut off by halving steps; on what remains the edit distance is computed along
 a band of 2 * EDITS + 1 diagonals whose differences are kept as bits of one integer each, one step per character.
@@ -22,10 +24,10 @@ by `clean` and ignored by `digest`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, each_of, has_word
+from orrery.llm.common import Staging, has_word
 from orrery.llm.links import link
 
 EDITS = 2
@@ -33,36 +35,53 @@ EDITS = 2
 PER = 12
 #: Cells of the grid over the places of a pivot, on each side.
 GRID = 16
-#: Hashes up to this number are broadcast (8 bytes each); more are joined by shuffling.
-BROADCAST_IDS = 2_000_000
+#: Lengths of a class of lines; more than any number of edits.
+WIDTH = 16
+#: Lines that occur so often give their keys once.
+HOT = 256
+#: Hashes up to this number are broadcast; more are joined by shuffling, from SPREAD times as many on without a table of bits.
+BROADCAST_IDS, SPREAD = 2_000_000, 16
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of a line: even cuts, the later segments one longer."""
-    parts = edits + 1
-    least = F.floor(length / parts).cast("int")
-    longer = (length - least * parts).cast("int")
-    before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    return (F.lit(1) + least * i + before).cast("int"), (least + (F.lit(i) >= F.lit(parts) - longer).cast("int")).cast("int")
+def windows(e: int) -> tuple[int, list[tuple[int, bool, int, int]]]:
+    """The spare characters of a line for e edits, and its windows: (region, from the end, windows' sizes before it, characters before it).
 
-
-def key_places(edits: int = EDITS) -> list[tuple[int, int, int]]:
-    """(shorter, segment, move) of each key of a line: as the shorter line itself, or as one longer by `shorter` characters."""
-    out = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            out += [(shorter, i, move) for move in range(low, high + 1)]
-    return out
-
-
-def keys_of(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Index and probe keys of a line of at least (edits + 1)^2 characters, each once."""
+    Region i may be moved by min(i, e - i) characters at most, counted from the closer end, and is longer than its window by as
+    many; so a window of one line, on the region's first places in either, is in the other line's region as well.
+    """
+    room = [min(i, e - i) for i in range(e + 1)]
     out = []
-    for shorter, i, move in key_places(edits):
-        start, size = _segment(length - shorter, i, edits)
-        out.append(F.xxhash64(length - shorter, F.lit(i), F.substring(line, start + move, size)))
-    return F.array(*out)
+    for i in range(e + 1):
+        back = 2 * i > e
+        before = range(i + 1, e + 1) if back else range(i)
+        out += [(i, back, len(before), sum(room[j] for j in before) + t) for t in range(room[i] + 1)]
+    return sum(room), out
+
+
+def keyed(lines: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """(key, h): the keys of lines (h, line, n characters)."""
+    allowed = lambda a: F.least(F.lit(edits), F.floor(a / per)).cast("int")
+    least = max(per, (edits + 1) ** 2)
+    # As the shorter line itself, or one longer by `s` characters, if that is another class.
+    own = lines.where(F.col("n") >= least).select("h", "line", "n", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("s")).withColumn("a", F.col("n") - F.col("s"))
+    other = (F.floor(F.col("a") / WIDTH) != F.floor((F.col("a") + 1) / WIDTH)) | (allowed(F.col("a")) != allowed(F.col("a") + 1))
+    own = own.where((F.col("a") >= least) & ((F.col("s") == 0) | other))
+    own = own.select("h", "line", "n", allowed(F.col("a")).alias("e"), F.floor(F.col("a") / WIDTH).cast("int").alias("w"))
+    # The shortest line of the class.
+    base = F.greatest(F.lit(least), F.col("w") * WIDTH, F.col("e") * per)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("k"))
+    cases = []
+    for e in range(1, edits + 1):
+        spare, places = windows(e)
+        size = F.floor((base - spare) / (e + 1)).cast("int")
+        region, back, sizes, chars = zip(*places)
+        before = pick(sizes) * size + pick(chars)
+        cases.append((e, len(places), F.struct(pick(region).alias("region"), F.when(pick(back), F.col("n") - before - size).otherwise(before).alias("start"), size.alias("size"))))
+    number, where = F.lit(cases[-1][1]), cases[-1][2]
+    for e, m, place in cases[:-1]:
+        number, where = F.when(F.col("e") == e, m).otherwise(number), F.when(F.col("e") == e, place).otherwise(where)
+    each = own.select("h", "line", "n", "e", "w", F.explode(F.sequence(F.lit(0), number - 1)).alias("k")).withColumn("p", where)
+    return each.select(F.xxhash64("e", "w", "p.region", F.substring(F.col("line"), F.col("p.start") + 1, F.col("p.size"))).alias("key"), "h")
 
 
 def within(a: str, b: str, edits: int = EDITS) -> Column:
@@ -150,30 +169,52 @@ def _cid() -> Column:
     return F.concat(F.hex("h"), F.lit(":"), F.hex("g"))
 
 
+def _at() -> Column:
+    """A place (doc_id, pos) as one number: in that order, null doc_id first."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(19,0)"))
+    return doc * F.lit(2**32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+
+
+def _maybe(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Rows without most of those whose h is not among the n staged ids: by a table of eight bits for each of them, broadcast up to a bound."""
+    if n > SPREAD * BROADCAST_IDS:
+        return rows
+    words = 1 << max(0, n - 1).bit_length()  # of 64 bits each; eight ids share one
+    words = max(1, words // 8)
+    word, bit = (lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1))), "cast({h} & 63 as int)"
+    table = ids.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit.format(h='h')})")).alias("bits"))
+    found = rows.withColumn("word", word(F.col("h"))).join(F.broadcast(table), "word").where(F.expr(f"shiftright(bits, {bit.format(h='h')}) & 1L = 1L"))
+    return found.drop("word", "bits")
+
+
 def _by_ids(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose `columns` are among staged ids: broadcast up to a bound, joined by shuffling beyond."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, columns, "left_semi")
+    """Rows whose `columns` (with h) are among staged ids: broadcast up to a bound, joined by shuffling beyond."""
+    n = ids.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), columns, "left_semi")
+    return _maybe(rows, ids, n).join(ids, columns, "left_semi")
 
 
 def classes(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
-    """(h, g, label, n, at): each distinct line's hashes, class, occurrences and first occurrence (doc_id, pos), staged.
+    """(h, g, label, n, at): each distinct line's hashes, class, occurrences and first occurrence (see _at), staged.
 
-    Only lines that occur twice or more, or are linked with another line, are listed.
+    Only lines that occur twice or more, or share a key with another line, are listed.
     """
     stage = Staging(docs.sparkSession, "lines")
     lines = _lines(docs)
-    # The length once, as a column: each key's places are arithmetic on it.
-    sized = lines.select("h", "g", "line", F.length("line").alias("n")).where(F.col("n") >= max(per, (edits + 1) ** 2))
-    keys = keys_of(F.col("line"), F.col("n"), edits)
-    number = len(key_places(edits))
-    # That two lines under one key agree in h by chance is beyond all odds.
-    common = each_of(sized.select("h", keys.alias("keys")), "keys", number, "key").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    common = stage.keep(common)
-    keyed = each_of(sized.select("h", "g", keys.alias("keys")), "keys", number, "key")
-    shared = stage.keep(_by_ids(keyed, common, ["key"]).distinct())
-    members = stage.keep(shared.select("h", "g").distinct())
-    texts = _by_ids(lines.select("h", "g", "line"), members, ["h", "g"]).dropDuplicates(["h", "g"])
-    texts = stage.keep(texts.select(_cid().alias("cid"), "line"))
+    repeated = stage.keep(lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(_at()).alias("at")).where("n > 1"))
+    often = stage.keep(repeated.where(F.col("n") >= HOT).select("h", "g", F.col("at").alias("first")))
+    once = lines.select("h", "g", "line", "doc_id", "pos")
+    if not often.isEmpty():
+        once = once.join(F.broadcast(often), ["h", "g"], "left").where(F.col("first").isNull() | (F.col("first") == _at()))
+    keys, under = keyed(once.select("h", "line", F.length("line").alias("n")), edits, per), Window.partitionBy("key")
+    # One shuffle for both; that two lines under one key agree in h by chance is beyond all odds.
+    found = stage.keep(keys.select("key", "h", F.min("h").over(under).alias("a"), F.max("h").over(under).alias("b")).where("a < b").select("key", "h").distinct())
+    members = stage.keep(found.select("h").distinct())
+    texts = _by_ids(lines.select("h", "g", "line", "doc_id", "pos"), members, ["h"])
+    texts = texts.groupBy("h", "g").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min(_at()).alias("at"))
+    texts = stage.keep(texts.withColumn("cid", _cid()))
+    shared = stage.keep(found.join(texts.select("h", "cid"), "h").select("key", "cid"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         tx = texts.select(F.col("cid").alias("x"), F.col("line").alias("tx"))
@@ -184,25 +225,22 @@ def classes(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
             near = F.when(shorter < (e + 1) * per, within("tx", "ty", e)).otherwise(near)
         return both.where(near).select("x", "y")
 
-    ids = members.select(_cid().alias("cid"), "h", "g")
-    labels = link(stage, shared.select("key", _cid().alias("cid")), ids.select("cid"), confirm, lambda pairs: _differences(stage, pairs, texts, edits), MEET)
-    counted = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
-    known = labels.join(ids, "cid").select("h", "g", "label")
-    found = counted.join(known, ["h", "g"], "left").where("n > 1 or label is not null")
-    out = stage.keep(found.select("h", "g", F.coalesce("label", _cid()).alias("label"), "n", "at"))
-    stage.drop(common, shared, members, texts, labels)
+    labels = link(stage, shared, texts.select("cid"), confirm, lambda pairs: _differences(stage, pairs, texts, edits), MEET)
+    known = labels.join(texts.select("cid", "h", "g", "n", "at"), "cid").select("h", "g", "label", "n", "at")
+    others = repeated.join(texts.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", _cid().alias("label"), "n", "at")
+    out = stage.keep(known.unionByName(others))
+    stage.drop(repeated, often, found, members, shared, texts, labels)
     return out
 
 
 def dropped(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
     """(rid, rid2, exact, near): places of the lines that go from each document; equal to an earlier line, or only close to one."""
     known = classes(docs, edits, per)
-    first = known.groupBy("label").agg(F.min("at").alias("stays"))
-    status = known.join(first, "label").select("h", "g", "at", "stays")
-    rows = _lines(docs).select("doc_id", "rid", "rid2", "pos", "h", "g").join(status, ["h", "g"])
-    here = F.struct("doc_id", "pos")
-    same = lambda p, q: p["doc_id"].eqNullSafe(q["doc_id"]) & (p["pos"] == q["pos"])
-    gone = rows.where(~same(here, F.col("stays"))).withColumn("near", same(here, F.col("at")))
+    first = known.groupBy("label").agg(F.min("at").alias("stays"), F.sum("n").alias("all")).where("all > 1")
+    status = Staging(docs.sparkSession, "status").keep(known.join(first, "label").select("h", "g", "at", "stays"))
+    lines = _maybe(_lines(docs).select("doc_id", "rid", "rid2", "pos", "h", "g"), status, status.count())
+    rows = lines.join(status, ["h", "g"]).withColumn("here", _at())
+    gone = rows.where("here <> stays").withColumn("near", F.col("here") == F.col("at"))
     return gone.groupBy("rid", "rid2").agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
 
 

@@ -264,3 +264,28 @@ def test_empty_tables(spark):
     assert decontam.report(some, bench).count() == 0
     assert decontam.report(none, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     assert decontam.keep_clean(some, bench).count() == 1
+
+
+def test_linked_lines_share_a_key(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.choice([12, 13, 17, 23, 24, 25, 26, 31, 32, 33, 36, 47, 48, 49, 50, 90])))
+        pairs.append((a, mutated(rng, a, min(2, len(a) // 12))))
+    pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) >= 12 and distance(a, b) <= min(2, min(len(a), len(b)) // 12)]
+    lines = spark.createDataFrame([(2 * i + k, x, len(x)) for i, p in enumerate(pairs) for k, x in enumerate(p)], "h long, line string, n int")
+    keys = {}
+    for r in linededup.keyed(lines).collect():
+        keys.setdefault(r.h, set()).add(r.key)
+    assert len(pairs) > 1000 and all(keys[2 * i] & keys[2 * i + 1] for i in range(len(pairs)))
+    # What is shuffled: few keys a line, however many lines there are.
+    assert sum(map(len, keys.values())) < 6 * len(keys)
+
+
+@pytest.mark.parametrize("bound, spread", [(10**6, 16), (10, 10**5), (0, 0)])
+def test_lines_of_any_number_and_frequency(spark, docs, monkeypatch, bound, spread):
+    want = sorted(map(str, linededup.digest(docs).collect()))
+    monkeypatch.setattr(linededup, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(linededup, "SPREAD", spread)
+    monkeypatch.setattr(linededup, "HOT", 2)
+    assert sorted(map(str, linededup.digest(docs).collect())) == want
