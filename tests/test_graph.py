@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import graph, lookup
+from orrery.plans import graphs_queries, registry
 
 
 def frame(spark, edges, weight=False):
@@ -78,6 +79,21 @@ def test_similarity_equals_all_pairs(spark):
         assert got == {a: sorted(v)[:5] for a, v in want.items()}
 
 
+def test_node_similarity_has_all_pairs_with_a_common_neighbour(spark):
+    queries, sf = registry.QUERIES, "/root/testdata/sf0.001"
+    got = {(r.a, r.b): r for r in queries["node_similarity"](spark, sf).where("a like 'n%' or b like 's%'").collect()}
+    near = {}
+    e = graphs_queries.edges(spark, sf).select("src", "dst").union(graphs_queries._weights(spark, sf).select("src", "dst"))
+    for a, b in e.distinct().collect():
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = {(a, b): near[a] & near[b] for a, b in itertools.combinations(sorted(near), 2) if near[a] & near[b] and (a[0] == "n" or b[0] == "s")}
+    assert got.keys() == want.keys()
+    for (a, b), c in want.items():
+        assert (got[a, b].common, got[a, b].jaccard) == (len(c), pytest.approx(len(c) / len(near[a] | near[b]), abs=1e-6))
+        assert got[a, b].adamic_adar == pytest.approx(sum(1 / math.log(len(near[v])) for v in c), abs=1e-6)
+    assert min(r.jaccard for r in got.values()) < 0.4 and max(sum(x == a for x, _ in got) for a in near) > 10
+
+
 def test_shared_neighbours_equal_set_overlaps(spark):
     rnd = random.Random(4)
     edges = [(f"v{i}", f"v{j}") for i, j in itertools.combinations(range(14), 2) if rnd.random() < 0.6]
