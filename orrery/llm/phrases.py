@@ -23,12 +23,12 @@ are ignored.
 from __future__ import annotations
 
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,56 +54,60 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 def places_of(words: list[bytes], langs: np.ndarray, k: int, size: int) -> np.ndarray:
     """The bits, in a table of 2^size, of the k words from each place on, within their language."""
-    crc = np.fromiter(map(crc32, words), np.uint64, len(words))
+    return _places(np.fromiter(map(crc32, words), np.uint64, len(words)), langs, k, size)
+
+
+def _places(crc: np.ndarray, langs: np.ndarray, k: int, size: int) -> np.ndarray:
     h = langs.astype(np.uint64) + np.uint64(k)
     for j in range(k):
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        h[: len(words) - j] += crc[j:]
+        h[: len(crc) - j] += crc[j:]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(64 - size)).astype(np.int64)
 
 
 def _grams(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
     """Sums (lang, phrase, w) of the phrases of k words; table: bits of the frequent phrases of k - 1 words."""
-    held: dict[str, Counter] = {}
+    held: list[pa.Table] = []
     for batch in batches:
         langs, texts, m = (batch.column(c) for c in ("lang", "piece", "m"))
-        texts, m = texts.to_pylist(), m.to_numpy()
-        if not texts:
+        if not len(texts):
             continue
-        codes = langs.dictionary_encode()
-        names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        words = b" ".join(texts).split(b" ")
-        sizes = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+        split = pc.split_pattern(texts, b" ")
+        sizes = pc.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy()
         piece = np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(len(words))
-        fit = at + k <= np.cumsum(sizes)[piece]
+        fit = np.arange(len(code)) + k <= np.cumsum(sizes)[piece]
         if table is not None:
-            salts = np.array([crc32(n.encode()) for n in names], np.uint64)[code]
-            bit = places_of(words, salts[piece], k - 1, len(table).bit_length() + 2)
+            names = langs.dictionary_encode()
+            salts = np.array([crc32(n.encode()) for n in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+            crc = np.fromiter(map(crc32, words.to_pylist()), np.uint64, len(words))[code]
+            bit = _places(crc, salts[piece], k - 1, len(table).bit_length() + 2)
             often = (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             fit &= often & np.append(often[1:], False)
-        for lang in range(len(names)):
-            here = np.flatnonzero(fit & (code[piece] == lang))
-            sums = held.setdefault(names[lang], Counter())
-            weights = m[piece[here]]
-            phrases = [words[i] for i in here] if k == 1 else [b" ".join(words[i : i + k]) for i in here.tolist()]
-            if (weights == 1).all():
-                sums.update(phrases)
-            else:
-                for p, w in zip(phrases, weights.tolist()):
-                    sums[p] += w
-        if sum(map(len, held.values())) > most:
+        here = np.flatnonzero(fit)
+        at = pa.array(piece[here])
+        parts = [words.take(pa.array(code[here + j])) for j in range(k)]
+        phrases = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, b" ")
+        held.append(_summed([pa.table({"lang": langs.take(at), "phrase": phrases, "w": m.take(at)})]))
+        if sum(t.num_rows for t in held) > most:
             yield from _shipped(held)
-            held = {}
-    yield from _shipped(held)
+            held = []
+    if held:
+        yield from _shipped(held)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("w", "sum")])
+    return sums.select(["lang", "phrase", "w_sum"]).rename_columns(["lang", "phrase", "w"])
 
 
-def _shipped(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, sums in held.items():
-        for i in range(0, len(keys := list(sums)), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array([sums[p] for p in part], pa.int64())], names=["lang", "phrase", "w"])
+def _shipped(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The sums, language by language, so that they pack well."""
+    sums = _summed(tables)
+    for lang in pc.unique(sums["lang"]):
+        yield from sums.filter(pc.equal(sums["lang"], lang)).combine_chunks().to_batches(50_000)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int, least: int, size: int) -> Iterator[pa.RecordBatch]:
