@@ -11,7 +11,8 @@ of lengths (WIDTH long), so lines of one class have the same ones whatever their
 classes of the shorter lines that it may be linked with: five keys a line, about, each a hash of a window. Lines are
 compared only under common keys. A key and the hash of its line is all that is shuffled, once, whatever the size; lines
 that occur very often give keys at their first occurrence only. Lines that share a region but differ elsewhere (variants
-of one line) are parted by the place where they leave a common pivot; see links.py.
+of one line) are parted by the place where they leave a common pivot, see links.py; those that leave it at the same place
+are compared by how often they hold each letter before their texts are, since an edit changes two such counts at most.
 
 Verify: the common prefix and suffix are cut off by halving steps; on what remains the edit distance is computed along
 a band of 2 * EDITS + 1 diagonals whose differences are kept as bits of one integer each, one step per character.
@@ -37,6 +38,8 @@ PER = 12
 GRID = 16
 #: Lengths of a class of lines; more than any number of edits.
 WIDTH = 16
+#: Letters that are counted in variants of a line, each by itself; all other characters count together.
+LETTERS = "etaoinshrdlucmwfgypb "
 #: Lines that occur so often give their keys once.
 HOT = 256
 #: Hashes up to this number are broadcast; more are joined by shuffling, from SPREAD times as many on without a table of bits.
@@ -140,17 +143,27 @@ def _differences(stage: Staging, pairs: DataFrame, texts: DataFrame, edits: int)
     edits of the pivot any more (high). Of two linked lines, the one that stays longer equals the pivot up to its own low,
     so the other one is within the edits of the pivot up to there: the ranges from low to high overlap. So do those from
     the back. Rows are cells of a grid over both ranges; a pair counts in the first cell that it has in common.
+    The counts of letters go along: one edit changes two of them by one, at most.
     """
     tx = texts.select("cid", "line")
     tp = texts.select(F.col("cid").alias("pivot"), F.col("line").alias("pivot_line"))
     both = pairs.join(tx, "cid").join(tp, "pivot").select("pivot", "cid", "line", "pivot_line", F.reverse("line").alias("back"), F.reverse("pivot_line").alias("pivot_back"))
-    ends = both.select("pivot", "cid", F.expr(f"greatest(8, length(pivot_line) div {GRID} + 1)").cast("int").alias("w"), F.expr(_reach("pivot_line", "line", edits)).alias("f"), F.expr(_reach("pivot_back", "back", edits)).alias("b"))
-    ends = stage.keep(ends).select("pivot", "cid", "w", *[F.get(c, F.lit(k)).alias(n) for n, c, k in (("f0", "f", 0), ("f1", "f", 1), ("b0", "b", 0), ("b1", "b", 1))])
+    ends = both.select("pivot", "cid", F.expr(f"greatest(8, length(pivot_line) div {GRID} + 1)").cast("int").alias("w"), F.expr(_reach("pivot_line", "line", edits)).alias("f"), F.expr(_reach("pivot_back", "back", edits)).alias("b"), _letters(F.col("line")).alias("bag"))
+    ends = stage.keep(ends).select("pivot", "cid", "w", "bag", *[F.get(c, F.lit(k)).alias(n) for n, c, k in (("f0", "f", 0), ("f1", "f", 1), ("b0", "b", 0), ("b1", "b", 1))])
     cells = ends.withColumn("fc", F.expr("explode(sequence(cast(f0 div w as int), cast(f1 div w as int)))")).withColumn("bc", F.expr("explode(sequence(cast(b0 div w as int), cast(b1 div w as int)))"))
-    return cells.select(F.xxhash64("pivot", "fc", "bc").alias("key"), "cid", "w", "f0", "f1", "b0", "b1", "fc", "bc")
+    return cells.select(F.xxhash64("pivot", "fc", "bc").alias("key"), "cid", "w", "f0", "f1", "b0", "b1", "fc", "bc", "bag")
 
 
-MEET = "f0_x <= f1_y and f0_y <= f1_x and b0_x <= b1_y and b0_y <= b1_x and fc_x = greatest(f0_x, f0_y) div w_x and bc_x = greatest(b0_x, b0_y) div w_x"
+def _letters(line: Column) -> Column:
+    """How often each of LETTERS is in a line, and then all other characters together."""
+    counts = [F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*counts, F.length(F.translate(line, LETTERS, "")))
+
+
+def meet(edits: int) -> str:
+    """Whether two rows of `_differences` may be linked and meet here first, as SQL over columns with _x and _y."""
+    places = "f0_x <= f1_y and f0_y <= f1_x and b0_x <= b1_y and b0_y <= b1_x and fc_x = greatest(f0_x, f0_y) div w_x and bc_x = greatest(b0_x, b0_y) div w_x"
+    return f"{places} and {' + '.join(f'abs(bag_x[{k}] - bag_y[{k}])' for k in range(len(LETTERS) + 1))} <= {2 * edits}"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -225,7 +238,7 @@ def classes(docs: DataFrame, edits: int = EDITS, per: int = PER) -> DataFrame:
             near = F.when(shorter < (e + 1) * per, within("tx", "ty", e)).otherwise(near)
         return both.where(near).select("x", "y")
 
-    labels = link(stage, shared, texts.select("cid"), confirm, lambda pairs: _differences(stage, pairs, texts, edits), MEET)
+    labels = link(stage, shared, texts.select("cid"), confirm, lambda pairs: _differences(stage, pairs, texts, edits), meet(edits))
     known = labels.join(texts.select("cid", "h", "g", "n", "at"), "cid").select("h", "g", "label", "n", "at")
     others = repeated.join(texts.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", _cid().alias("label"), "n", "at")
     out = stage.keep(known.unionByName(others))

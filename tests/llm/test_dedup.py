@@ -289,3 +289,31 @@ def test_lines_of_any_number_and_frequency(spark, docs, monkeypatch, bound, spre
     monkeypatch.setattr(linededup, "SPREAD", spread)
     monkeypatch.setattr(linededup, "HOT", 2)
     assert sorted(map(str, linededup.digest(docs).collect())) == want
+
+
+def test_variants_of_one_line_give_few_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abdeghilmnoprstuw") for _ in range(7))
+    base, lines, changed = [word() for _ in range(40)], [], set()
+    for k in range(240):  # one of three words becomes another one; some are repeated with two edits
+        words = base[:]
+        words[rng.choice([3, 20, 36])] = word()
+        lines.append(" ".join(words))
+        if k % 12 == 0:
+            changed.add(len(lines))
+            lines.append(mutated(rng, lines[-1], 2, "abd"))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    compared = []
+
+    def counted(stage, shared, items, confirm, *more):
+        def counting(pairs):
+            compared.append(pairs.count())
+            return confirm(pairs)
+
+        return links.link(stage, shared, items, counting, *more)
+
+    monkeypatch.setattr(linededup, "link", counted)
+    near = {r.doc_id for r in linededup.digest(docs).collect() if r.n_near}
+    assert near == changed and len(near) == 20
+    # All pairs that differ from a common line at the same place would be a third of 34,000.
+    assert sum(compared) < 6 * len(lines)
