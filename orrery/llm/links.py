@@ -116,14 +116,13 @@ def components(stage: Staging, labels: DataFrame, links: DataFrame) -> DataFrame
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     parents = stage.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
     while True:
-        # Each node takes the least parent around it, then its parent's parent.
+        # Each node takes the least parent around it, or its parent's parent: one table a round, which also tells what has moved.
         near = both.join(parents.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("q"))
-        step = stage.keep(parents.join(near, "u").select("u", F.least("p", "q").alias("p")))
-        now = stage.keep(step.join(step.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p", "left").select("u", F.least("p", F.coalesce("pp", "p")).alias("p")))
-        changed = now.join(parents.select("u", F.col("p").alias("before")), "u").where("p <> before").limit(1).count()
-        stage.drop(parents, step)
+        above = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        now = stage.keep(parents.select("u", "p").join(near, "u").join(above, "p").select("u", F.least("p", "q", "pp").alias("p"), (F.least("q", "pp") < F.col("p")).alias("moved")))
+        stage.drop(parents)
         parents = now
-        if not changed:
+        if now.where("moved").isEmpty():
             break
     out = stage.keep(labels.join(parents.select(F.col("u").alias("label"), "p"), "label", "left").select("cid", F.coalesce("p", "label").alias("label")))
     stage.drop(edges, parents)
