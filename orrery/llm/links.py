@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging
+from orrery.llm.common import Staging, shuffles_end
 
 STARS, DEPTH = 4, 3
 #: Pairs an item, on average, up to which all pairs under the keys of several components are formed: those that are compared
@@ -46,7 +46,8 @@ def link(stage: Staging, shared: DataFrame, items: DataFrame, confirm: Callable[
                 break
             rows = _open(stage, rows, labels)
         crowd = rows.join(labels, "cid").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-        pairs = crowd.agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
+        with shuffles_end(stage.spark):
+            pairs = crowd.agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
         if depth == DEPTH or pairs <= roomy * n * (CHEAP if depth else 1):
             break
         shared = stage.keep(differ(_against(rows, labels)))
