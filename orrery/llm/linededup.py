@@ -121,18 +121,21 @@ def _reach(a: str, b: str, edits: int) -> str:
     """array(p, r) as SQL: the length of the common prefix of columns a and b, and how far into a some prefix of b goes
     within `edits` edits. On each diagonal the furthest place after one more edit comes from three places before it.
     """
-    same = lambda i, j: f"aggregate(r.hops, 0, (p, s) -> if({i} + p + s <= length(r.a) and {j} + p + s <= length(r.b) and substring(r.a, {i} + p + 1, s) = substring(r.b, {j} + p + 1, s), p + s, p))"
+    steps = lambda i, j: f"aggregate(r.hops, 0, (p, s) -> if({i} + p + s <= r.m and {j} + p + s <= r.n and substring(r.a, {i} + p + 1, s) = substring(r.b, {j} + p + 1, s), p + s, p))"
+    # On most diagonals the very next characters differ.
+    same = lambda i, j: f"if(substring(r.a, {i} + 1, 1) = substring(r.b, {j} + 1, 1), {steps(i, j)}, 0)"
     hops = f"reverse(transform(sequence(0, cast(floor(log2(greatest(1, least(length({a}), length({b}))))) as int)), i -> cast(power(2, i) as int)))"
-    state = f"transform(array(named_struct('a', {a}, 'b', {b}, 'hops', {hops})), r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', {same(0, 0)}))"
-    state = f"transform({state}, r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', r.p, 'f', array(r.p)))"
+    held = "'a', r.a, 'b', r.b, 'm', r.m, 'n', r.n, 'hops', r.hops"
+    state = f"transform(array(named_struct('a', {a}, 'b', {b}, 'm', length({a}), 'n', length({b}), 'hops', {hops})), r -> named_struct({held}, 'p', {same(0, 0)}))"
+    state = f"transform({state}, r -> named_struct({held}, 'p', r.p, 'f', array(r.p)))"
     for e in range(1, edits + 1):
         at = lambda d: f"r.f[{d + e - 1}]"  # noqa: B023, E731
         starts = []
         for d in range(-e, e + 1):
             before = [at(d) + " + 1"] * (abs(d) < e) + [at(d + 1) + " + 1"] * (abs(d + 1) < e) + [at(d - 1)] * (abs(d - 1) < e)
             starts.append(before[0] if len(before) == 1 else f"greatest({', '.join(before)})")
-        state = f"transform({state}, r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', r.p, 'f', array({', '.join(starts)})))"
-        state = f"transform({state}, r -> named_struct('a', r.a, 'b', r.b, 'hops', r.hops, 'p', r.p, 'f', transform(r.f, (i, k) -> least(length(r.a), i + {same('i', f'(i + k - {e})')}))))"
+        state = f"transform({state}, r -> named_struct({held}, 'p', r.p, 'f', array({', '.join(starts)})))"
+        state = f"transform({state}, r -> named_struct({held}, 'p', r.p, 'f', transform(r.f, (i, k) -> least(r.m, i + {same('i', f'(i + k - {e})')}))))"
     return f"transform({state}, r -> array(r.p, array_max(r.f)))[0]"
 
 
@@ -169,7 +172,9 @@ def meet(edits: int) -> str:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, rid2, pos, line, h, g) of the lines with a word; rid, rid2 tell documents apart, h, g lines (128 bits each)."""
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.select("doc_id", *_rid(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # The ids before the lines: beside posexplode they would be hashed anew, from the whole text, for each line.
+    d = d.select("doc_id", "text", *_rid(F.col("text")))
+    d = d.select("doc_id", "rid", "rid2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return d.where(has_word(F.col("line"))).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
 
 
