@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe
-from orrery.llm.bpe import CUT, hard
+from orrery.llm.bpe import bytes_of, spread
 from orrery.llm.common import Staging, bounded_batches
 
 MAGIC = b"PFOR0001"
@@ -244,6 +244,8 @@ class Reader:
 
 #: Pieces that may be joined in one text: a space, then no other at either end.
 JOINED = "(?s)^ [\\pL\\pN!-~](.*[\\pL\\pN!-~])?$"
+#: Pieces in one text.
+JOIN = 500
 
 
 class LibraryEncoder(bpe.Encoder):
@@ -259,91 +261,22 @@ class LibraryEncoder(bpe.Encoder):
         self.library.no_padding()
         self.n_bytes = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers. Pieces are cut and numbered by Arrow, so the cache is asked
-        once for each distinct piece of a batch, and ids are gathered by numbers.
-        """
-        texts = [t or "" for t in texts]
-        easy = [not hard(t) for t in texts]
-        cut = pc.split_pattern(pa.array([t for t, e in zip(texts, easy) if e], pa.string()), " ")
-        borders, values = cut.offsets.to_numpy(), cut.values
-        heads = borders[:-1]
-        rest = np.ones(len(values), bool)
-        rest[heads] = False
-        counts = iter((np.diff(borders) - 1).tolist())
-        firsts = iter(values.take(pa.array(heads)).to_pylist())
-        # The pieces of each text in their order: those of easy texts lie one after the other, then those of the others.
-        first, count, others = [], [], []
-        for t, e in zip(texts, easy):
-            if e:
-                first.append(next(firsts))
-                count.append(next(counts))
-            else:
-                head, *more = CUT.split(t)
-                first.append(head)
-                count.append(len(more))
-                others += more
-        column = pa.concat_arrays([values.filter(pa.array(rest)), pa.array(others, pa.string())]).dictionary_encode()
-        pieces = column.dictionary.to_pylist()
-        found = self._known(pieces, set(first))
-        ids = np.frombuffer(b"".join(found), "<u4")
-        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        codes = column.indices.to_numpy()
-        size = lens[codes]
-        ends = np.cumsum(size)
-        flat = ids[np.repeat((np.cumsum(lens) - lens)[codes] - (ends - size), size) + np.arange(int(size.sum()))]
-        ends = np.concatenate([[0], ends])
-        out, at, odd = [], 0, len(values) - len(heads)
-        for head, n, e in zip(first, count, easy):
-            k = at if e else odd
-            out.append(self.start[head] + flat[ends[k] : ends[k + n]].tobytes())
-            at, odd = (at + n, odd) if e else (at, odd + n)
-        self._forget(pieces, set(first))
-        return out
-
-    def _known(self, pieces: list[str], heads: set[str]) -> list[bytes]:
-        """The ids of distinct pieces; those of texts' first pieces go to `start`."""
-        # Two generations: what the younger one lacks is taken over from the older one, so pieces in use stay.
-        if len(self.space) > bpe.CACHE // 2:
-            self.older, self.space = self.space, {}
-        if len(self.start) > bpe.CACHE // 8:
-            self.start = {}
-        space, older = self.space, self.older
-        lacking = [p for p in pieces if p not in space]
-        fresh = [p for p in lacking if p not in older]
-        if len(fresh) < len(lacking):
-            space.update([(p, older[p]) for p in lacking if p in older])
-        fresh0 = [p for p in heads if p not in self.start]
-        found = self._encoded([" " + p for p in fresh] + fresh0)
-        space.update(zip(fresh, found))
-        self.start.update(zip(fresh0, found[len(fresh) :]))
-        return [space[p] for p in pieces]
-
-    def _forget(self, pieces: list[str], heads: set[str]) -> None:
-        for known, names in ((self.space, pieces), (self.start, heads)):
-            for p in names:
-                if len(p) > bpe.LONG_PIECE:
-                    del known[p]
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that begin with a space are joined: no token spans the border, so byte counts part the ids again."""
-        column = pa.array(pieces, pa.string())
-        plain = pc.and_not(pc.match_substring_regex(column, JOINED), pc.match_substring(column, "<|")).to_numpy(zero_copy_only=False)
-        n_bytes, joined, alone = pc.binary_length(column).to_numpy(), np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
-        groups = [joined[k : k + 500] for k in range(0, len(joined), 500)]
-        out: list[bytes] = [b""] * len(pieces)
-        named = [g.tolist() for g in groups]
-        found = self.library.encode_batch_fast(["".join([pieces[i] for i in g]) for g in named] + [pieces[i] for i in alone], add_special_tokens=False)
-        for g, names, e in zip(groups, named, found):
-            ids = np.array(e.ids, "<u4")
-            stops = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[g]), side="right")).tolist()
-            raw, cut = ids.tobytes(), 0
-            for i, stop in zip(names, stops):
-                out[i] = raw[cut:stop]
-                cut = stop
-        for i, e in zip(alone, found[len(groups) :]):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+        plain = pc.match_substring_regex(pieces, JOINED).to_numpy(zero_copy_only=False) & ~pc.match_substring(pieces, "<|").to_numpy(zero_copy_only=False)
+        data, at = bytes_of(pieces.filter(pa.array(plain)))
+        cuts = at[np.append(np.arange(0, len(at) - 1, JOIN), len(at) - 1)].tolist()
+        joined = [data[i:j].tobytes().decode() for i, j in zip(cuts, cuts[1:])]
+        found = self.library.encode_batch_fast(joined + pieces.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+        parts = [np.array(e.ids, np.uint32) for e in found]
+        ids = np.concatenate([*parts, np.empty(0, np.uint32)])
+        n_joined = sum(map(len, parts[: len(joined)]))
+        stops = np.searchsorted(np.cumsum(self.n_bytes[ids[:n_joined]]), at, side="right")
+        lens, first = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        lens[plain], first[plain] = np.diff(stops), stops[:-1]
+        lens[~plain] = [len(p) for p in parts[len(joined) :]]
+        first[~plain] = n_joined + np.cumsum(lens[~plain]) - lens[~plain]
+        return ids if plain.all() else ids[spread(first, lens)], lens
 
 
 @lru_cache(maxsize=4)

@@ -48,6 +48,29 @@ def test_verification_finds_exactly_the_wrong_proposals():
     assert ours.n_exact - before == sum(ours.proposed(w) != ours.merged(w) for w in words)
 
 
+def test_words_are_merged_together_as_they_are_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aabehinorst' é"), n)).encode() for n in [*range(1, 60), *range(1, 30), 90, 700]] + [b"a" * 64, b"\xff\xc3"]
+    encoder = bpe.Encoder()
+    want = [encoder.merged(w) for w in words]
+    assert encoder.encode_words(words) == want
+    alone = []
+    monkeypatch.setattr(encoder, "merged", lambda w: alone.append(w) or ours.merged(w))
+    encoder.ordered = False
+    assert encoder.encode_words(words) == want
+    assert alone and all(len(w) > max(bpe.WIDTHS) for w in alone)
+
+
+def test_cached_pieces_change_nothing(monkeypatch):
+    texts = ["a few words, then more", "more words\nthen a \u2028 few", "it's  <|endoftext|> x" + "y" * 600]
+    for encoder in (ours, theirs):
+        for size in (0, 3, 100):
+            monkeypatch.setattr(bpe, "CACHE", size)
+            encoder.forget()
+            for part in (texts, texts[::-1], texts[:1], texts):
+                assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch(part)] == [ids(t) for t in part]
+
+
 def test_every_entry_is_reached_by_merging_its_bytes():
     assert all(ours.merged(b) == [i] for b, i in list(ours.id_of.items())[::97])
 
