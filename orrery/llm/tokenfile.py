@@ -28,7 +28,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -294,29 +294,38 @@ def _cuts(docs: DataFrame, shards: int | None) -> list[float]:
     return sorted(docs.where("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)) if shards > 1 else []
 
 
-def _shard(doc_ids: pd.Series, ids: list[bytes], cuts: list[float]) -> np.ndarray:
-    at = doc_ids.astype("float64").fillna(-np.inf).to_numpy()
+def _shard(doc_ids: pa.Array, ids: pa.Array, cuts: list[float]) -> np.ndarray:
+    at = pc.fill_null(doc_ids.cast(pa.float64(), safe=False), -np.inf).to_numpy(zero_copy_only=False)
     low, high = np.searchsorted(cuts, at, side="left"), np.searchsorted(cuts, at, side="right")
-    for i in np.flatnonzero(high - low > 1):
-        high[i] = low[i] + 1 + zlib.crc32(ids[i]) % (high[i] - low[i])
+    for i in np.flatnonzero(high - low > 1).tolist():
+        high[i] = low[i] + 1 + zlib.crc32(ids[i].as_buffer()) % (high[i] - low[i])
     return high.astype(np.int32)
 
 
+def _ended(ids: np.ndarray, ends: np.ndarray, wide: bool) -> pa.Array:
+    """The ids of each text as bytes, the end id after them."""
+    n, borders = len(ends) - 1, ends + np.arange(len(ends))
+    out = np.full(len(ids) + n, END_ID, "<u4" if wide else "<u2")
+    of_text = np.ones(len(out), bool)
+    of_text[borders[1:] - 1] = False
+    out[of_text] = ids
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((borders * out.itemsize).astype(np.int32)), pa.py_buffer(out)])
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, shards: int | None = None) -> list[tuple[int, int, int, str]]:
     """Writes the shard files of documents into a folder: (shard, documents, ids, file) of each, in ascending doc_id order."""
     spark = docs.sparkSession
     bounded_batches(spark)
     cuts = _cuts(docs, shards)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = library_encoder(path)
         wide = e.size > 1 << 16
-        end = np.array([END_ID], "<u4" if wide else "<u2").tobytes()
         for b in batches:
-            ids = [x + end if wide else np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in e.encode_batch(b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids, "wide": wide, "shard": _shard(b["doc_id"], ids, cuts)})
+            doc_ids, ids = b.column("doc_id").cast(pa.int64()), _ended(*e.encode_texts(b.column("text")), wide)
+            yield pa.record_batch([doc_ids, ids, pa.array(np.full(len(ids), wide)), pa.array(_shard(doc_ids, ids, cuts))], names=["doc_id", "ids", "wide", "shard"])
 
-    encoded = docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary, wide boolean, shard int")
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, wide boolean, shard int")
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     run = uuid.uuid4().hex
     rows = dealt.mapInPandas(lambda batches: _store(batches, folder, run), "shard int, n_docs long, n_ids long, file string").collect()  # one row per file

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,6 +118,13 @@ def test_files_hold_all_documents_in_order(spark, tmp_path, shards):
     assert not [p for p in tmp_path.rglob("*.part")]
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_every_text_gets_its_end_id(wide):
+    flat, ends = theirs.encode_texts(pa.array(TEXTS, pa.string()))
+    got = tokenfile._ended(flat, ends, wide).to_pylist()
+    assert [np.frombuffer(x, "<u4" if wide else "<u2").tolist() for x in got] == [[*ids(t), tokenfile.END_ID] for t in TEXTS]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digest(none).count() == tokenfile.digest(none).count() == 0
