@@ -5,7 +5,9 @@ multiplicity, in partial sums before the shuffle. Phrases of 1, 2, ... LONGEST w
 distinct pieces: tasks sum up what they hold, ship (lang, phrase, weight) to the bucket of its hash, and there duckdb sums
 each bucket out of core, keeping phrases that occur FREQUENT times. A phrase is counted only if both phrases of one word
 less in it may be frequent: a bit table of fixed size, filled from the length before, tells. Two phrases on one bit only
-mean that more is counted; counts go by the phrases themselves and are exact, whatever the size of the table.
+mean that more is counted; counts go by the phrases themselves and are exact, whatever the size of the table. Once the
+frequent pairs of words are known, pieces are cut down to the stretches of three words and more that such pairs cover;
+all longer frequent phrases lie within these.
 
 Each cut of a candidate into two parts asks for the parts' counts: requests are shuffled to where the counts are (joins on
 language and part), as are the questions of shorter candidates whether a longer one occurs as often. Every part occurs at
@@ -23,7 +25,7 @@ are ignored.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -32,10 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import LOWER, UPPER, Staging, ascii_lower, bounded_batches
+from orrery.llm.common import LOWER, UPPER, Staging, bounded_batches
 
 FREQUENT, LONGEST, TOP = 100, 5, 2000
 BREAKS, BLANKS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
+#: The characters of BREAKS.
+ENDS = ".,;:!?\n\x0b\x0c\r"
+#: The length whose frequent phrases cut the pieces down.
+NARROW = 2
 #: Bits of the table that tells which phrases may be frequent, as a power of two (8 MB), and phrases a task holds at most
 #: before it ships their sums.
 TABLE, HELD = 26, 400_000
@@ -46,9 +52,11 @@ COUNTS = "lang string, phrase binary, f long"
 
 def pieces(docs: DataFrame) -> DataFrame:
     """(lang, piece, m): distinct pieces, words parted by single spaces, and how often they occur."""
-    text = F.split(ascii_lower(F.coalesce("text", F.lit(""))), BREAKS)
+    # Translated first, so that neither the cut nor most pieces need a pattern.
+    text = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER + ENDS + "\t", LOWER + "\n" * len(ENDS) + " "), "\n")
     raw = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(text).alias("raw"))
-    clean = raw.select("lang", F.trim(F.regexp_replace("raw", BLANKS, " ")).alias("piece")).where("piece <> ''")
+    single = F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))
+    clean = raw.select("lang", F.trim(single).alias("piece")).where("piece <> ''")
     return clean.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
 
 
@@ -66,30 +74,67 @@ def _places(crc: np.ndarray, langs: np.ndarray, k: int, size: int) -> np.ndarray
     return (h >> np.uint64(64 - size)).astype(np.int64)
 
 
+def _often(langs: pa.Array, piece: np.ndarray, words: pa.Array, code: np.ndarray, k: int, table: np.ndarray) -> np.ndarray:
+    """Whether the k words from each place on may be frequent."""
+    names = langs.dictionary_encode()
+    salts = np.array([crc32(n.encode()) for n in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+    crc = np.fromiter(map(crc32, words.to_pylist()), np.uint64, len(words))[code]
+    bit = _places(crc, salts[piece], k, len(table).bit_length() + 2)
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; of each word of the pieces: its code, its piece, and how many follow it there, itself included."""
+    split = pc.split_pattern(texts, b" ")
+    sizes = pc.list_value_length(split).to_numpy()
+    coded = split.flatten().dictionary_encode()
+    code, piece = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+    return coded.dictionary, code, piece, np.cumsum(sizes)[piece] - np.arange(len(code))
+
+
 def _grams(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
     """Sums (lang, phrase, w) of the phrases of k words; table: bits of the frequent phrases of k - 1 words."""
+
+    def phrases(langs: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        words, code, piece, left = _coded(texts)
+        fit = left >= k
+        if table is not None:
+            often = _often(langs, piece, words, code, k - 1, table)
+            fit &= often & np.append(often[1:], False)
+        here = np.flatnonzero(fit)
+        parts = [words.take(pa.array(code[here + j])) for j in range(k)]
+        return parts[0] if k == 1 else pc.binary_join_element_wise(*parts, b" "), piece[here]
+
+    return _sums(batches, phrases, most)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Sums (lang, piece, m) of the longest stretches of over k words in which all phrases of k words may be frequent."""
+
+    def stretches(langs: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        words, code, piece, left = _coded(texts)
+        often = _often(langs, piece, words, code, k, table) & (left >= k)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], often.view(np.int8), [0]])))
+        first, sizes = edges[::2], edges[1::2] - edges[::2]
+        first, sizes = first[sizes > 1], sizes[sizes > 1] + k - 1
+        ends = np.cumsum(sizes)
+        here = np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), words.take(pa.array(code[here])))
+        return pc.binary_join(lists, b" "), piece[first]
+
+    for b in _sums(batches, stretches, most):
+        yield pa.record_batch(b.columns, names=["lang", "piece", "m"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch], part: Callable[[pa.Array, pa.Array], tuple[pa.Array, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
+    """Sums (lang, phrase, w) of what `part` makes of pieces, and of which; of over `most` rows at a time."""
     held: list[pa.Table] = []
     for batch in batches:
         langs, texts, m = (batch.column(c) for c in ("lang", "piece", "m"))
         if not len(texts):
             continue
-        split = pc.split_pattern(texts, b" ")
-        sizes = pc.list_value_length(split).to_numpy()
-        coded = split.flatten().dictionary_encode()
-        words, code = coded.dictionary, coded.indices.to_numpy()
-        piece = np.repeat(np.arange(len(texts)), sizes)
-        fit = np.arange(len(code)) + k <= np.cumsum(sizes)[piece]
-        if table is not None:
-            names = langs.dictionary_encode()
-            salts = np.array([crc32(n.encode()) for n in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
-            crc = np.fromiter(map(crc32, words.to_pylist()), np.uint64, len(words))[code]
-            bit = _places(crc, salts[piece], k - 1, len(table).bit_length() + 2)
-            often = (table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-            fit &= often & np.append(often[1:], False)
-        here = np.flatnonzero(fit)
-        at = pa.array(piece[here])
-        parts = [words.take(pa.array(code[here + j])) for j in range(k)]
-        phrases = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, b" ")
+        phrases, piece = part(langs, texts)
+        at = pa.array(piece)
         held.append(_summed([pa.table({"lang": langs.take(at), "phrase": phrases, "w": m.take(at)})]))
         if sum(t.num_rows for t in held) > most:
             yield from _shipped(held)
@@ -158,6 +203,9 @@ def frequent(stage: Staging, distinct: DataFrame, least: int = FREQUENT, longest
         out = part if out is None else out.unionByName(part)
         if k < longest:
             table = _table(counts)
+        if k == NARROW and k < longest:
+            cut = source.mapInArrow(lambda b, k=k, t=spark.sparkContext.broadcast(table): _stretches(b, k, t.value, most), "lang string, piece binary, m long")
+            source = stage.keep(cut)
     return out
 
 

@@ -3,6 +3,10 @@
 import collections
 import random
 import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
 
 from orrery.llm import phrases
 
@@ -58,6 +62,29 @@ def test_few_places_and_small_buckets_change_nothing(spark, monkeypatch):
     assert run(spark, some_rows(2), least=5) == want == brute(some_rows(2), 5)
 
 
+def test_pieces_are_cut_down_to_what_can_hold_longer_phrases():
+    table = np.zeros(1 << 13, np.uint8)
+    pairs = [("en", b"a b"), ("en", b"b c"), ("en", b"c d"), ("de", b"x y"), ("de", b"y x")]
+    for lang, pair in pairs:
+        bit = phrases.places_of(pair.split(), np.full(2, zlib.crc32(lang.encode()), np.uint64), 2, 16)[0]
+        table[bit >> 3] |= 1 << (bit & 7)
+    rows = [("en", b"q a b c d q b c q a b c", 3), ("en", b"a b c", 2), ("en", b"c", 1), ("en", b"d a b", 1), ("de", b"a b c", 5), ("de", b"x y x y", 1), ("de", b"q", 9)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names=["lang", "piece", "m"])
+    got = sorted(tuple(r.values()) for b in phrases._stretches(iter([batch, batch]), 2, table, 1000) for r in b.to_pylist())
+    assert got == [("de", b"x y x y", 2), ("en", b"a b c", 10), ("en", b"a b c d", 6)]
+
+
+def test_only_what_is_cut_down_is_read_for_longer_phrases(spark):
+    seen = {}
+    rows = [("en", "one two three"), ("en", "one two three"), *[("en", f"w{i} v{i} u{i}") for i in range(50)]]
+    stage = phrases.Staging(spark, "test")
+    keep = stage.keep
+    stage.keep = lambda df: seen.setdefault(len(seen), keep(df))
+    phrases.frequent(stage, phrases.pieces(spark.createDataFrame(rows, "lang string, text string")), 2)
+    cut = [df for df in seen.values() if df.columns == ["lang", "piece", "m"]]
+    assert [[(r.lang, bytes(r.piece), r.m) for r in df.collect()] for df in cut] == [[("en", b"one two three", 2)]]
+
+
 def test_ties_edges_and_top(spark):
     rows = [("en", "b a b a b a"), ("en", "b a b a b a"), ("en", None), ("en", ""), ("en", " ,.; "), (None, "x y x y"), ("de", "한 ß " * 30), ("en", "w " * 5000)]
     assert run(spark, rows, least=2) == brute(rows, 2)
