@@ -5,6 +5,7 @@ from math import sqrt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.operators import copula, forecast, retrieval, vector_index
@@ -104,3 +105,19 @@ def test_index_recall_and_exactness(spark):
     assert vector_index.recall(vector_index.probe(index, c, asked, 10, probes), exact) >= 0.9
     full = {(r.query_id, r.rank, r.id) for r in vector_index.probe(index, c, asked, 10, len(c)).collect()}
     assert full == {(r.query_id, r.rank, r.id) for r in exact.collect()}
+
+
+def test_search_equals_scores_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(retrieval, "CELLS", 64, raising=False)
+    vectors = [[float(x) for x in v] for v in rng.integers(-3, 4, (150, 4))] + [None, [], [0.0] * 4, [1.0, None, 2.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0]]
+    store = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>").repartition(3)
+    asked = store.where("id % 10 = 0 or id >= 150").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    every = store.crossJoin(asked).select("query_id", "id", retrieval.cosine(F.col("v"), F.col("q")).alias("score"))
+    for k, least in ((7, -1.0), (20, 0.0)):
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        want = every.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        got = retrieval.search(store, asked, k, least)
+        assert [str(tuple(r)) for r in got.orderBy("query_id", "rank").collect()] == [str(tuple(r)) for r in want.orderBy("query_id", "rank").collect()]
+    # Pairs are scored as products of matrices, not one by one in a nested loop.
+    assert "NestedLoopJoin" not in retrieval.search(store, asked, 3)._jdf.queryExecution().toString()
