@@ -36,9 +36,10 @@ ent AS (SELECT id, kind, entity, count(*) AS mentions, string_agg(DISTINCT metho
 def _extracted(spark, sf):
     """Each document's first two words, as they stand, are a name of the dictionary; all of them are looked for in all texts."""
     d = v.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    opening = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), 1, 2)
-    phrase = F.array_join(F.transform(opening, lambda w: F.lower(F.regexp_replace(F.regexp_replace(w, f"^{extraction.EDGES}", ""), f"{extraction.EDGES}$", ""))), " ")
-    names = d.where(F.size(opening) == 2).groupBy(phrase.alias("phrase")).agg(F.min("lang").alias("kind")).withColumn("confidence", F.lit(0.6))
+    # Not by splitting whole texts.
+    word = [F.regexp_extract(F.coalesce("text", F.lit("")), "^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+)[\\x20\\x09-\\x0D]+([^\\x20\\x09-\\x0D]+)", k) for k in (1, 2)]
+    clean = [F.lower(F.regexp_replace(F.regexp_replace(w, f"^{extraction.EDGES}", ""), f"{extraction.EDGES}$", "")) for w in word]
+    names = d.where(word[1] != "").groupBy(F.concat_ws(" ", *clean).alias("phrase")).agg(F.min("lang").alias("kind")).withColumn("confidence", F.lit(0.6))
     return extraction.extract(d, names, 2)
 
 

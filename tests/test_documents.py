@@ -30,6 +30,21 @@ def test_confidence_and_distance_bound_what_is_kept(spark):
     assert [(r.a, r.b, r.n) for r in related.collect()] == [("7%", "8%", 1)]
 
 
+def test_texts_are_read_once_and_phrases_meet_in_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "AT_ONCE", 8, raising=False)
+    monkeypatch.setattr(extraction, "REMEMBERED", 3, raising=False)
+    rows = [(i, f"Ébano Río {i}000 (Ébano río), {'x ' * i}ébano ,, RÍO $ABC.") for i in range(20)] + [(20, ""), (21, "Río")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame([("ébano río", "place", 0.6), ("Río", "river", 0.7)], "phrase string, kind string, confidence double")
+    kept, _ = extraction.extract(texts, names, 2)
+    got = {(r.id, r.entity): r.mentions for r in kept.collect()}
+    # Inside the longer phrase the shorter one doesn't count; a word of punctuation parts two words.
+    assert got == {**{(i, e): n for i in range(20) for e, n in (("ébano río", 2), ("río", 1), ("$abc", 1))}, (21, "río"): 1}
+    # Tokens and n-grams aren't rows: nothing is exploded but places of what was found.
+    plan = extraction.mentions(texts, names, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Scan") + plan.count("Relation") + plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4
+
+
 def test_bundles_equal_pairs(spark):
     rnd = np.random.default_rng(2)
     rows = []
