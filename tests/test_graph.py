@@ -115,3 +115,23 @@ def test_hierarchies_deeper_than_twenty_levels(spark):
     links = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(24)], "child string, parent string")
     got = {(r.child, r.ancestor): r.depth for r in lookup.hierarchy(links).collect()}
     assert got == {(f"{i:02d}", f"{j:02d}"): j - i for i in range(25) for j in range(i + 1, 25)}
+
+
+def test_pairs_of_blocks_equal_all_pairs_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIR_BLOCK", 7, raising=False)
+    rnd = random.Random(8)
+    rows = [(f"n{rnd.randrange(30)}", f"é{rnd.randrange(12)}") for _ in range(90)] + [("n1", "n2"), ("n2", "n1"), ("n3", "n3")]
+    near = {}
+    for a, b in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = {}
+    for a in near:
+        for b in near:
+            c = near[a] & near[b]
+            if a.encode() < b.encode() and c:
+                want[a, b] = (len(c), round(len(c) / len(near[a] | near[b]), 9), round(sum(1 / math.log(len(near[v])) for v in c), 9))
+    out = graph.common_neighbours(spark.createDataFrame(rows, "src string, dst string"))
+    got = out.collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.common, round(r.jaccard, 9), round(r.adamic_adar, 9)) for r in got} == want
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
