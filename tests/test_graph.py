@@ -135,3 +135,13 @@ def test_pairs_of_blocks_equal_all_pairs_without_a_shuffle_of_pairs(spark, monke
     got = out.collect()
     assert len(got) == len(want) and {(r.a, r.b): (r.common, round(r.jaccard, 9), round(r.adamic_adar, 9)) for r in got} == want
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_to_hubs_open_no_wedges(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(df.cache()) or seen[-1])
+    rows = [(f"p{i}", f"s{j}") for i in range(20) for j in range(9)] + [("s0", "n0"), ("n0", "r0"), ("s0", "r0")]
+    got = graph.shared_neighbours(spark.createDataFrame(rows, "src string, dst string"), 0.0).collect()
+    assert {(r.id, r.neighbour, r.shared) for r in got} == {(a, b, 1) for a in ("s0", "n0", "r0") for b in ("s0", "n0", "r0") if a != b}
+    # Parts lead to suppliers, which lead nowhere: of 20 * 9 * 8 + 2 pairs of edges those of the triangle are left.
+    assert graph._wedges(seen[-1]).count() == 1
